@@ -83,17 +83,16 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None =
         docs_n = ids_n = at = 0
         with fs.open_output_stream(f"{root}/{name}.rec") as rec, fs.open_output_stream(f"{root}/{name}.idx") as idx:
             at += rec.write(first := frame(meta)) or len(first)
-            for b in batches:
+            for b in (batch.slice(lo, 250) for batch in batches for lo in range(0, batch.num_rows, 250)):
                 keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 index = np.zeros(len(keys), INDEX)
-                for lo in range(0, len(keys), 256):
-                    for k, raw in enumerate(coder.encode([t or "" for t in texts[lo : lo + 256]]), lo):
-                        ids = np.frombuffer(raw + tail, "<u4").astype(ids_type)
-                        out = frame(struct.pack("<Bq", keys[k] is not None, keys[k] or 0) + ids.tobytes())
-                        rec.write(out)
-                        index[k] = keys[k] or 0, at, len(ids)
-                        at += len(out)
-                        ids_n += len(ids)
+                for k, raw in enumerate(coder.encode([t or "" for t in texts])):
+                    ids = np.frombuffer(raw + tail, "<u4").astype(ids_type)
+                    out = frame(struct.pack("<Bq", keys[k] is not None, keys[k] or 0) + ids.tobytes())
+                    rec.write(out)
+                    index[k] = keys[k] or 0, at, len(ids)
+                    at += len(out)
+                    ids_n += len(ids)
                 docs_n += len(keys)
                 idx.write(index.tobytes())
         if docs_n:

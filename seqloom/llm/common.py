@@ -33,7 +33,7 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def bound_batches(spark: SparkSession, mb: int = 32) -> None:
+def bound_batches(spark: SparkSession, mb: int = 8) -> None:
     """Limits the bytes of one Arrow batch sent to Python, unless the session limits them already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     try:

@@ -38,7 +38,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for b in batches:
+        for b in (batch.slice(lo, 250) for batch in batches for lo in range(0, batch.num_rows, 250)):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
             for i, raw in zip(ids, coder.encode([t or "" for t in texts]), strict=True):

@@ -10,12 +10,17 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Unicode White_Space, which the tokenizers' expressions mean by ``\s`` (fixed values).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _HAS_SPACE = re.compile(f"[{SPACE}]")
+#: A blank or line break next to another space, a space at an end, or the character that marks keys.
+_WIDE = re.compile(f"[ \n][{SPACE}]|[{SPACE}][ \n]|^[{SPACE}]|[{SPACE}]$|\0").search
+#: Characters at which Python splits and the expressions don't.
+_ODD = re.compile("[\x1c-\x1f]").search
 
 
 def default_path(name: str) -> str:
@@ -24,6 +29,10 @@ def default_path(name: str) -> str:
 
     return public_tokenizers.path(name)
 
+#: Byte-level BPE writes a byte as a printable character: itself, or one from 256 on.
+_SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SAME} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SAME)}
+
 
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
@@ -31,21 +40,40 @@ class PieceEncoder:
     At most ``limit`` pieces are remembered; the memory then starts anew, which changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         self.mode = self._mode(json.loads(self.tok.to_str()))
         if self.mode == "lead":  # a piece is a run of spaces and the word after it
-            self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-            self.plain, self.glue = re.compile(f" ?[^{SPACE}]+").fullmatch, "\n"
-        elif self.mode == "drop":  # spaces make no ids
-            self.cut = re.compile(f"[^{SPACE}]+").findall
-            self.plain, self.glue = re.compile(r"[^|]+").fullmatch, " | "
+            self.cut, self.glue = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall, "\n"
+            self.plain = re.compile(f" ?[^{SPACE}]+").fullmatch
+            self.after_blank = re.compile(f" [^{SPACE}\0]+").fullmatch
+        elif self.mode == "drop":  # spaces make no ids, A-Z is lower-cased
+            self.cut, self.glue = re.compile(f"[^{SPACE}]+").findall, " | "
+            self.plain = re.compile(f"[^{SPACE}|]+").fullmatch
         if self.mode:
             ids = self.tok.encode(self.glue, add_special_tokens=False).ids
             self.mark = ids[0] if len(ids) == 1 else None
+            self.tok.model._resize_cache(0)
+            letters = "A-Za-zÀ-ÖØ-öø-ÿ" if self.mode == "lead" else "a-zß-öø-ÿ"
+            self.simple = re.compile(f"([\n\0]?)([{letters}]+)([.,]?)").fullmatch
+            self.line_break = array("I", self.tok.encode("\n", add_special_tokens=False).ids).tobytes()
+            self.stops = {x: array("I", self.tok.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,"}
+
+    def pieces(self, text: str) -> list[str]:
+        """The text's pieces as keys of ``known``.
+
+        Mode lead: ``x`` means a blank and x, ``\\nx`` a line break and x, ``\\0x`` just x. The first
+        key of a text whose blanks and breaks all stand alone has a line break too many.
+        """
+        if self.mode == "drop":
+            text = text.encode("utf-8", "replace").lower().decode()  # ASCII only
+            return self.cut(text) if _ODD(text) else text.split()
+        if not text or _WIDE(text):
+            return ["\n", *[p[1:] if self.after_blank(p) else "\0" + p for p in self.cut(text)]]
+        return ("\n" + text.replace("\n", " \n")).split(" ")
 
     @staticmethod
     def _mode(spec: dict) -> str:
@@ -53,17 +81,41 @@ class PieceEncoder:
             return ""
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-            return "lead"
+            return "lead"  # a line break alone is one id
         parts, norms = pre.get("pretokenizers", []), {n["type"] for n in (norm or {}).get("normalizers", [])}
         split = parts[0] if parts else {}
-        if [p["type"] for p in parts] == ["Split", "ByteLevel"] and split["behavior"] == "Removed" and split["invert"] and r"[^\s\p{L}\p{N}]+" in str(split["pattern"]) and norms <= {"NFC", "Replace", "Lowercase"}:
+        if [p["type"] for p in parts] == ["Split", "ByteLevel"] and split["behavior"] == "Removed" and split["invert"] and r"[^\s\p{L}\p{N}]+" in split["pattern"].get("Regex", "") and norms <= {"NFC", "Replace", "Lowercase"}:
             return "drop"
         return ""
 
     def _learn(self, pieces: list[str]) -> None:
+        """Words of letters, with a full stop or comma or none, go straight to the library's BPE model; other pieces through the whole tokenizer."""
+        known, model, rest, lead = self.known, self.tok.model.tokenize, [], self.mode == "lead"
+        for p in pieces:
+            m = self.simple(p)
+            if m is None:
+                rest.append(p)
+                continue
+            before, word, stop = m.groups()
+            raw = known.get(p[:-1]) if stop else None
+            if raw is None:
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_BYTES)
+                raw = array("I", [t.id for t in model("\u0120" + word if lead and not before else word)]).tobytes()
+                if before == "\n":
+                    raw = self.line_break + raw
+            known[p] = raw + self.stops[stop] if stop else raw
+        if rest:
+            self._learn_odd(rest)
+
+    def _learn_odd(self, pieces: list[str]) -> None:
         """Encodes pieces, many in one string where a mark can part them again."""
-        plain = [p for p in pieces if self.mark is not None and self.plain(p)]
-        rest = set(pieces).difference(plain) if len(plain) < len(pieces) else ()
+        if self.mode == "lead":
+            names = {(p if p[:1] == "\n" else p[1:] if p[:1] == "\0" else " " + p): p for p in pieces}
+        else:
+            names = {p: p for p in pieces}
+        plain = [p for p in names if self.mark is not None and self.plain(p)]
+        rest = set(names).difference(plain) if len(plain) < len(names) else ()
         for at in range(0, len(plain), 6400):
             part = [plain[i : i + 64] for i in range(at, min(at + 6400, len(plain)), 64)]
             for group, e in zip(part, self.tok.encode_batch_fast([self.glue.join(g) for g in part], add_special_tokens=False), strict=True):
@@ -74,12 +126,12 @@ class PieceEncoder:
                     continue
                 raw, lo = ids.tobytes(), 0
                 for piece, hi in zip(group, [*(ends * 4).tolist(), len(raw)], strict=True):
-                    self.known[piece] = raw[lo:hi]
+                    self.known[names[piece]] = raw[lo:hi]
                     lo = hi + 4
         rest = list(rest)
         for at in range(0, len(rest), 1000):
             for piece, e in zip(rest[at : at + 1000], self.tok.encode_batch_fast(rest[at : at + 1000], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
+                self.known[names[piece]] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.mode:
@@ -96,15 +148,14 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known.clear()
-        cut = [self.cut(t) for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces)
-        new.difference_update(self.known)
+        cut = [self.pieces(t) for t in texts]
+        known = self.known
+        new = [p for p in set().union(*cut) if p not in known]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        skip = 4 if self.mode == "lead" else 0
+        return [b"".join(map(get, pieces))[skip:] for pieces in cut]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
