@@ -8,11 +8,14 @@ from .jaccard_join import op8_jaccard_join
 from .mixing import OP5_SQL, op5_mix
 from .neighbours import op7_neighbours
 from .packing import op1_pack
+from .quotations import op2_quotations
+from .suffix_tree import op10_suffix_tree
 from .toxicity import op6_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_quotations": op2_quotations,
     "op3_url_filter": op3_url_filter,
     "op4_media": op4_media,
     "op5_mix": op5_mix,
@@ -20,5 +23,6 @@ QUERIES = {
     "op7_neighbours": op7_neighbours,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_records": op9_records,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 SQL = {"op3_url_filter": OP3_SQL, "op5_mix": OP5_SQL}
