@@ -73,7 +73,7 @@ class Model:
         return score
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, l1: float = 2e-4, rounds: int = 300, rate: float = 0.05, least_docs: int = 3) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, l1: float = 5e-5, rounds: int = 400, rate: float = 0.08, least_docs: int = 3) -> Model:
     """nnPU training. Features of fewer than ``least_docs`` positives have no weight.
 
     Without positives the prior alone decides; without unlabelled rows the positives' own risk does.
