@@ -146,32 +146,57 @@ def netcluster(matrix: DataFrame, cluster_fn: Callable[[DataFrame, DataFrame], D
     return out
 
 
+def grid_modularity(edges: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, modularity) for (run, gamma, id, cluster)."""
+    of = lambda c: runs.select("run", F.col("id").alias(c), F.col("cluster").alias(f"c_{c}"))
+    e = edges.join(of("src"), "src").join(of("dst"), ["run", "dst"])
+    inside = e.where("c_src = c_dst").groupBy("run", F.col("c_src").alias("c")).agg(F.sum("weight").alias("l"))
+    ends = e.select("run", F.col("c_src").alias("c"), "weight").unionByName(e.select("run", F.col("c_dst").alias("c"), "weight"))
+    degree = ends.groupBy("run", "c").agg(F.sum("weight").alias("d"))
+    m = F.broadcast(edges.agg(F.sum("weight").alias("m")))  # one row
+    gamma = runs.groupBy("run").agg(F.first("gamma").alias("gamma"))
+    parts = degree.join(inside, ["run", "c"], "left").join(F.broadcast(gamma), "run").join(m)
+    return parts.groupBy("run").agg(F.sum(F.coalesce("l", F.lit(0.0)) / F.col("m") - F.col("gamma") * F.pow(F.col("d") / (2 * F.col("m")), F.lit(2.0))).alias("modularity"))
+
+
 def louvain_mod(vertices: DataFrame, edges: DataFrame, res: float, res_range_perc: float = 0.0, res_step: float = 0.0, itr: int = 3, seed: int = 0, mode: str = "reference") -> DataFrame:
     """One row (resolution, modularity, membership array of (id, cluster)) from a grid of resolutions and restarts.
 
     ``mode="reference"``: the best restart of the last resolution, with the last resolution at which a
     later restart was strictly better than those before, else the first. ``mode="best"``: the best of all.
+    All runs of the grid are one job, a task for each component and run.
     """
     if res_range_perc and res_step <= 0:
         raise ValueError("res_step must be positive if there is a range")
     steps = int(np.floor(2 * res * res_range_perc / res_step + 1e-10)) + 1 if res_range_perc else 1
-    grid = [res * (1 - res_range_perc) + k * res_step for k in range(steps)]
-    runs, rows = None, []
-    for j, gamma in enumerate(grid):
-        for i in range(itr):
-            of = Workspace(vertices.sparkSession, "louvain").save(louvain_clusters(vertices, edges, gamma, seed + j * itr + i), "run")
-            rows.append((j, i, gamma, modularity(edges, of, gamma).first()[0]))
-            tagged = of.withColumn("run", F.lit(j * itr + i))
-            runs = tagged if runs is None else runs.unionByName(tagged)
+    grid = [(j * itr + i, res * (1 - res_range_perc) + j * res_step) for j in range(steps) for i in range(itr)]
+    runs = F.explode(F.array(*(F.struct(F.lit(r).alias("run"), F.lit(float(g)).alias("gamma")) for r, g in grid))).alias("x")
+    component = connected_components(vertices, edges).withColumnRenamed("id", "src")
+    total = F.broadcast(edges.agg(F.sum("weight").alias("m")))  # one row
+    jobs = edges.join(component, "src").join(total).select("*", runs).select("component", "src", "dst", "weight", "m", "x.run", "x.gamma")
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate((f["src"], f["dst"])))
+        run = int(f["run"].iloc[0])
+        of = louvain(len(ids), np.searchsorted(ids, f["src"]), np.searchsorted(ids, f["dst"]), f["weight"].to_numpy(float), float(f["gamma"].iloc[0]), seed + run, float(f["m"].iloc[0]))
+        return pd.DataFrame({"run": run, "id": ids, "cluster": pd.Series(ids).groupby(of).transform("min").to_numpy()})
+
+    found = jobs.groupBy("component", "run").applyInPandas(one, "run int, id long, cluster long")
+    all_ = vertices.select("id", runs).select("id", "x.run", "x.gamma").join(found, ["run", "id"], "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    all_ = Workspace(vertices.sparkSession, "louvain").save(all_, "runs")
+    q = {r.run: r.modularity for r in grid_modularity(edges, all_).collect()}
     if mode == "best":
-        j, i, gamma, q = max(rows, key=lambda r: (r[3], -r[0], -r[1]))
+        run = max(q, key=lambda r: (q[r], -r))
+        gamma = grid[run][1]
     else:
-        gamma, best = grid[0], None
-        for row in rows:
-            if row[1] == 0 or row[3] > best[3]:
-                if row[1]:
-                    gamma = row[2]
-                best = row
-        j, i, _, q = best
-    members = runs.where(F.col("run") == j * itr + i).agg(F.array_sort(F.collect_list(F.struct("id", "cluster"))).alias("membership"))
-    return members.select(F.lit(float(gamma)).alias("resolution"), F.lit(q).cast("double").alias("modularity"), "membership")
+        gamma, run = grid[0][1], 0
+        for r, g in grid:
+            if r % itr == 0 or q[r] > q[run]:
+                gamma = g if r % itr else gamma
+                run = r
+    from pyspark.sql import Window
+
+    heads = all_.where(F.col("run") == run)
+    number = heads.select("cluster").distinct().withColumn("number", F.row_number().over(Window.orderBy("cluster")))  # a row for each cluster
+    members = heads.join(number, "cluster").agg(F.array_sort(F.collect_list(F.struct("id", F.col("number").alias("cluster")))).alias("membership"))
+    return members.select(F.lit(float(gamma)).alias("resolution"), F.lit(q.get(run)).cast("double").alias("modularity"), "membership")

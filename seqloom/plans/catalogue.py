@@ -324,7 +324,7 @@ def permutation_minhash(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_MH.removeprefix('WITH ')}, q AS (SELECT quantile_cont(similarity, 0.95) AS t FROM n), e AS (SELECT i, j FROM n, q WHERE similarity >= t - 1e-12 AND similarity > 0),
-b AS (SELECT i, j FROM e UNION SELECT j, i FROM e), r AS (SELECT seq_id AS id, seq_id AS c FROM seqs UNION SELECT b.j, r.c FROM r JOIN b ON b.i = r.id)
+both_ AS (SELECT i, j FROM e UNION SELECT j, i FROM e), r AS (SELECT seq_id AS id, seq_id AS c FROM seqs UNION SELECT both_.j, r.c FROM r JOIN both_ ON both_.i = r.id)
 SELECT id, min(c) AS component FROM r GROUP BY 1""")
 def connected_components(spark, sf_dir):
     return G.connected_components(names(spark, sf_dir).select(F.col("seq_id").alias("id")), _edges(spark, sf_dir))
