@@ -117,7 +117,7 @@ def block_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         xor = np.zeros(blocks, np.uint64)
         full = np.flatnonzero(count)
         xor[full] = np.bitwise_xor.reduceat(shingles[order], (np.cumsum(count) - count)[full])
-        key = mix(xor + np.uint64(band) * np.uint64(_BASE) ^ mix(np.arange(1, blocks + 1, dtype=np.uint64) + np.uint64(blocks << 32)))
+        key = mix(xor + np.uint64(band * _BASE & _M) ^ mix(np.arange(1, blocks + 1, dtype=np.uint64) + np.uint64(blocks << 32)))
         out.append(key[np.lexsort((key, -count))[: bound + 1]])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -221,7 +221,8 @@ def _proposals(num: int, den: int, most: int | None):
             near = far <= np.minimum(n[x], n[y]) * (den - num) // num
             x, y, far = x[near], y[near], far[near]
             if most is not None and len(x):  # the nearest of each class and other component
-                for p, q in ((x, y), (y, x)):
+                for turned in (False, True):
+                    p, q = (y, x) if turned else (x, y)
                     order = np.lexsort((far, comp[q], cid[p]))
                     cp, cq = cid[p][order], comp[q][order]
                     start = np.concatenate(([True], (cp[1:] != cp[:-1]) | (cq[1:] != cq[:-1])))

@@ -137,7 +137,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     for r, f in zip(sums, flow, strict=True):
         words, first = sum(f.values()), number[r._names[0]]
         whole = min(repeats, int(words // r["size"])) if r["size"] else 0
-        plan.append((list(r._names), whole, words - whole * r["size"], sizes[first], goal[first]))
+        plan.append((list(r._names), whole, float(words - whole * r["size"]), sizes[first], float(goal[first])))
     planned = spark.createDataFrame(plan, "_names array<string>, whole long, rest double, source_size long, target double")
     key = F.to_json(F.struct("_names"))  # nulls in the array join as values
     planned = F.broadcast(planned.withColumn("_key", key).drop("_names"))  # at most MAX_PATTERNS rows

@@ -58,7 +58,8 @@ class PieceEncoder:
             self.mark = ids[0] if len(ids) == 1 else None
             self.tok.model._resize_cache(0)
             letters = "A-Za-zÀ-ÖØ-öø-ÿ" if self.mode == "lead" else "a-zß-öø-ÿ"
-            self.simple = re.compile(f"([\n\0]?)([{letters}]+)([.,]?)").fullmatch
+            marks = "[\n\0]?" if self.mode == "lead" else ""
+            self.simple = re.compile(f"({marks})([{letters}]+)([.,]?)").fullmatch
             self.line_break = array("I", self.tok.encode("\n", add_special_tokens=False).ids).tobytes()
             self.stops = {x: array("I", self.tok.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,"}
 

@@ -5,7 +5,7 @@ unlabelled set. A linear classifier with logistic loss l minimises
 
     prior * mean_P l(f) + max(0, mean_U l(-f) - prior * mean_P l(-f)) + l1 * |w|
 
-in numpy: full-batch Adam with soft thresholds; where the second term falls below zero, its gradient
+in numpy: full-batch Adam with soft thresholds, and again without most of the penalty on the features it left; where the second term falls below zero, its gradient
 is reversed. Features are a document's distinct words and their beginnings of 4 and 5 letters,
 hashed. The classifier is fitted on a bounded sample (``max_positive`` and ``max_unlabelled`` rows,
 the first by a hash of doc_id); every whole text is scored.
@@ -73,7 +73,7 @@ class Model:
         return score
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, l1: float = 5e-5, rounds: int = 400, rate: float = 0.08, least_docs: int = 3) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, l1: float = 1e-3, rounds: int = 250, rate: float = 0.08, least_docs: int = 3) -> Model:
     """nnPU training. Features of fewer than ``least_docs`` positives have no weight.
 
     Without positives the prior alone decides; without unlabelled rows the positives' own risk does.
@@ -100,23 +100,29 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     # words that nearly all documents share say nothing and would slow the descent: scale by rarity
     share = (np.bincount(uc, minlength=len(used)) + 1) / (n_u + 1)
     scale = 1 / np.sqrt(1 + 20 * share)
-    w, b = np.zeros(len(used)), base
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-    for t in range(1, rounds + 1):
-        f_p = b + np.bincount(pr, (w * scale)[pc], minlength=n_p)
-        f_u = b + np.bincount(ur, (w * scale)[uc], minlength=n_u)
-        risk = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
-        sign = 1.0 if risk >= 0 else -1.0
-        g_p = prior * ((sig(f_p) - 1) * (sign > 0) - sign * sig(f_p)) / n_p
-        g_u = sign * sig(f_u) / n_u
-        grad = np.append(scale * (np.bincount(pc, g_p[pr], minlength=len(used)) + np.bincount(uc, g_u[ur], minlength=len(used))), g_p.sum() + g_u.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        shrink = rate * l1 / (np.sqrt(v[:-1] / (1 - 0.99**t)) + 1e-8)
-        w = w - step[:-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - shrink, 0)
-        b -= step[-1]
+
+    def descend(w: np.ndarray, b: float, open_: np.ndarray, l1: float) -> tuple[np.ndarray, float]:
+        m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+        for t in range(1, rounds + 1):
+            f_p = b + np.bincount(pr, (w * scale)[pc], minlength=n_p)
+            f_u = b + np.bincount(ur, (w * scale)[uc], minlength=n_u)
+            risk = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
+            sign = 1.0 if risk >= 0 else -1.0
+            g_p = prior * ((sig(f_p) - 1) * (sign > 0) - sign * sig(f_p)) / n_p
+            g_u = sign * sig(f_u) / n_u
+            grad = np.append(open_ * scale * (np.bincount(pc, g_p[pr], minlength=len(used)) + np.bincount(uc, g_u[ur], minlength=len(used))), g_p.sum() + g_u.sum())
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+            pace = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            step = pace * m / (1 - 0.9**t)
+            w = w - step[:-1]
+            w = open_ * np.sign(w) * np.maximum(np.abs(w) - pace[:-1] * l1, 0)
+            b -= step[-1]
+        return w, b
+
+    # the penalty chooses features and shrinks them; those chosen are fitted again with little of it
+    w, b = descend(np.zeros(len(used)), base, np.ones(len(used)), l1)
+    w, b = descend(w, b, (w != 0).astype(float), l1 / 30)
     final = w * scale
     return Model({int(used[i]): float(final[i]) for i in np.flatnonzero(final)}, float(b))
 
