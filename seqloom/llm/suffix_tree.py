@@ -118,9 +118,27 @@ class Tree:
         return self._tables
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_tables", "_memo")}
 
     def score(self, code: np.ndarray) -> np.ndarray:
+        """log10 P of every coded symbol; windows met before are remembered, one for each of 2^22 places."""
+        if not hasattr(self, "_memo"):
+            self._memo = np.zeros(1 << 22, np.uint64), np.zeros(1 << 22)
+        keys, values = self._memo
+        place = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        out = values[place]
+        miss = np.flatnonzero(keys[place] != code + np.uint64(1))
+        if len(miss):
+            new, at = np.unique(code[miss], return_inverse=True)
+            found = self.look_up(new)
+            out[miss] = found[at]
+            put = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+            keys[put], values[put] = new + np.uint64(1), found
+            shared = keys[put] != new + np.uint64(1)  # two new windows of one place: the last one's value stays
+            values[put[shared]] = found[np.searchsorted(new, keys[put[shared]] - np.uint64(1))]
+        return out
+
+    def look_up(self, code: np.ndarray) -> np.ndarray:
         """log10 P of every coded symbol in its longest state; a byte that state hasn't seen escapes to the suffix's."""
         states, entries = self.tables()
         out, order = np.zeros(len(code)), np.zeros(len(code), np.int64)
