@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Workspace, bound_batches
 
-DEPTH = 6
+DEPTH = 5
 P_MIN = 2e-6
 GAIN = 2.0
 KAPPA = 2.0
