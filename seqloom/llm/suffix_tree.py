@@ -7,12 +7,9 @@ nats over all its occurrences than ``gain`` for each next byte it has seen. Suff
 kept. Distributions are smoothed by their suffix state's, down to a uniform start. A byte is scored in
 the longest kept suffix of what stands before it; a word's probability is its bytes' product.
 
-Words have counts of their own, too, which the tree smooths: P(w) = (c + V p) / (N + V) with the
-tree's p, N tokens and V distinct ones (Witten-Bell). Both sums over tokens are proper distributions.
-
-``p_min`` bounds the states to ``depth / p_min`` at any corpus size, so that they can be broadcast;
-the word counts grow with the corpus and stay a table. Frequent words (at most ``hot`` of them) are
-looked up in memory, all others in a join.
+``p_min`` bounds the states to ``depth / p_min`` at any corpus size, so that they can be broadcast.
+The word counts of the base score grow with the corpus and stay a table: frequent words (at most
+``hot`` of them) are looked up in memory, all others in a join.
 """
 
 from __future__ import annotations
@@ -29,9 +26,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import Workspace, bound_batches
 
 DEPTH = 5
-P_MIN = 2e-6
+P_MIN = 1e-6
 GAIN = 2.0
-KAPPA = 2.0
+KAPPA = 4.0
 LEAST = 4
 HOT = 100_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -330,22 +327,21 @@ def score_documents(docs: DataFrame, training: Column, depth: int = DEPTH, p_min
                     rare = np.flatnonzero(c < 0)
                     ok = c >= 0
                     base = np.log10((c[ok] + 0.5) / below).sum()
-                    mixed = np.log10((c[ok] + v * 10.0 ** p[ok]) / (n_train + v)).sum() if n_train else p[ok].sum()
-                    for column, x in zip(cols, (len(w) + 1, int((c > 0).sum()), base, mixed, [w[i] for i in rare], p[rare]), strict=True):
+                    few = Counter(w[i] for i in rare)
+                    for column, x in zip(cols, (len(w) + 1, int((c > 0).sum()), base, p.sum(), list(few), list(few.values())), strict=True):
                         column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["doc_id", "n_tokens", "n_known", "base", "mixed", "word", "p"])
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["doc_id", "n_tokens", "n_known", "base", "score", "word", "tf"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    first = docs.select(F.col(doc_id).alias("doc_id"), data).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, mixed double, word array<binary>, p array<double>")
+    first = docs.select(F.col(doc_id).alias("doc_id"), data).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, score double, word array<binary>, tf array<long>")
     first = work.save(first.withColumn("row", F.monotonically_increasing_id()), "first")
-    rare = first.select("row", F.explode(F.arrays_zip("word", "p")).alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.p").alias("p"))
-    rare = rare.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    mixed = F.log10((F.col("n") + F.lit(float(v)) * F.pow(F.lit(10.0), "p")) / F.lit(float(n_train + v))) if n_train else F.col("p")
-    rest = rare.groupBy("row").agg(F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum(F.log10((F.col("n") + 0.5) / below)).alias("more_base"), F.sum(mixed).alias("more_mixed"))
-    out = first.drop("word", "p").join(rest, "row", "left")
+    rare = first.select("row", F.explode(F.arrays_zip("word", "tf")).alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.tf").alias("tf"))
+    rare = rare.join(words, "word", "left").select("row", "tf", F.coalesce("n", F.lit(0)).alias("n"))
+    rest = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10((F.col("n") + 0.5) / below)).alias("more_base"))
+    out = first.drop("word", "tf").join(rest, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return out.select("doc_id", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("mixed", "more_mixed").alias("score"))
+    return out.select("doc_id", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), "score")
 
 
 def op10_suffix_tree(spark, sf_dir: str) -> DataFrame:
