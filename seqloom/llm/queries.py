@@ -8,7 +8,7 @@ from .jaccard_join import op8_jaccard_join
 from .mixing import OP5_SQL, op5_mix
 from .neighbours import op7_neighbours
 from .packing import op1_pack
-from .quotations import op2_quotations
+from .quotations import OP2_SQL, op2_quotations
 from .suffix_tree import op10_suffix_tree
 from .toxicity import op6_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_records": op9_records,
     "op10_suffix_tree": op10_suffix_tree,
 }
-SQL = {"op3_url_filter": OP3_SQL, "op5_mix": OP5_SQL}
+SQL = {"op2_quotations": OP2_SQL, "op3_url_filter": OP3_SQL, "op5_mix": OP5_SQL}

@@ -100,3 +100,28 @@ def link_quotations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "
 
 def op2_quotations(spark, sf_dir: str) -> DataFrame:
     return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS row_, conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS lines FROM conversations),
+x AS (SELECT row_, conv_id, turn, role, i, regexp_extract(lines[i], '^([ \t]{0,3}>)+') AS pre, regexp_replace(lines[i], '^([ \t]{0,3}>)+ ?', '') AS content
+      FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM m)),
+y AS (SELECT *, length(regexp_replace(pre, '[^>]', '', 'g')) AS level FROM x),
+z AS (SELECT *, lead(level, 1, 0) OVER w AS next_, level <> lag(level, 1, -1) OVER w AS new_ FROM y WINDOW w AS (PARTITION BY row_ ORDER BY i)),
+g AS (SELECT *, sum(CAST(new_ AS INTEGER)) OVER (PARTITION BY row_ ORDER BY i) AS run FROM z),
+b AS (SELECT row_, conv_id, turn, role, regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (next_ > 0 AND regexp_matches(content, '^\s*On .+ wrote:\s*$'))), ''), '^\s+|\s+$', '', 'g') AS body,
+             CAST(count(DISTINCT run) FILTER (level > 0) AS INTEGER) AS n_passages FROM g GROUP BY ALL),
+p AS (SELECT row_, conv_id, turn, run, level, list(content ORDER BY i) AS lines FROM g WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+q AS (SELECT DISTINCT row_, conv_id, turn, run, level, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS t FROM (SELECT *, unnest(list_append(lines, array_to_string(lines, ' '))) AS t FROM p)),
+o AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS t
+      FROM (SELECT conv_id, turn, unnest(list_concat([body], string_split_regex(body, '\n\s*\n'), string_split(body, chr(10)))) AS t FROM b)),
+f AS (SELECT q.row_, q.conv_id, q.turn, run, level, length(q.t) AS n, max(o.turn) AS source FROM q JOIN o ON o.conv_id = q.conv_id AND o.t = q.t AND o.turn < q.turn WHERE q.t <> '' GROUP BY ALL),
+h AS (SELECT row_, conv_id, turn, run, level, max({'n': n, 'source': source}) AS m FROM f GROUP BY ALL),
+e AS (SELECT conv_id, turn, max({'l': -level, 'n': m.n, 's': m.source}).s AS up FROM h GROUP BY ALL),
+r AS (SELECT conv_id, turn, up, [up, turn] AS path FROM e UNION ALL SELECT r.conv_id, r.turn, e.up, list_prepend(e.up, r.path) FROM r JOIN e ON e.conv_id = r.conv_id AND e.turn = r.up),
+t AS (SELECT conv_id, turn, arg_max(path, len(path)) AS path FROM r GROUP BY ALL),
+k AS (SELECT row_, CAST(count(*) AS INTEGER) AS n_linked FROM h GROUP BY 1)
+SELECT b.conv_id, b.turn, b.role, b.body, e.up AS reply_to, coalesce(t.path, [b.turn])[1] AS thread_turn, CAST(len(coalesce(t.path, [b.turn])) - 1 AS INTEGER) AS depth,
+       array_to_string(list_transform(coalesce(t.path, [b.turn]), lambda v: lpad(CAST(v AS VARCHAR), 12, '0')), '/') AS order_key, b.n_passages, coalesce(k.n_linked, 0) AS n_linked
+FROM b LEFT JOIN e USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn) LEFT JOIN k USING (row_)
+"""

@@ -445,3 +445,29 @@ def test_quotes_over_many_steps(spark, monkeypatch):
     rows = [("c", 0, "u", "same"), ("c", 9, "u", "same"), ("c", 11, "u", "> same\na"), ("c", 21, "u", "> same\nb"), ("c", 5, "u", "> same\nc")]
     out = {r.turn: r.reply_to for r in quotations.link_quotations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
     assert out == {0: None, 9: None, 11: 9, 21: 9, 5: 0}
+
+
+def test_quotations_equal_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng, rows = random.Random(12), []
+    for conv in range(8):
+        said = []
+        for turn in range(12):
+            lines = [rng.choice(["yes", "no  more", f"line {conv} {turn} {i}", "On Day X wrote:", "", "> odd"]) for i in range(rng.randint(0, 4))]
+            if said and rng.random() < 0.7:
+                quote = [f"{'> ' * rng.randint(1, 2)}{x}" for x in rng.choice(said)]
+                lines = [*quote, *lines] if rng.random() < 0.5 else [*lines, *quote, "end"]
+            said.append([x for x in lines if not x.startswith(">")] or ["empty"])
+            rows.append((conv, turn, "user", "\n".join(lines)))
+    rows += [(1, 5, "user", None), (2, 3, None, "> line 2 1 0")]
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841
+    got = quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    rel = con.sql(quotations.OP2_SQL)
+    columns = sorted(got.columns)
+    want = [tuple(r[list(rel.columns).index(c)] for c in columns) for r in rel.fetchall()]
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in got.collect())
+    assert sum(r.n_linked for r in got.collect()) > 10
