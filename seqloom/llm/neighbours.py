@@ -7,7 +7,8 @@ learnt on a bounded sample by coordinate descent: codes part by part, centroids
 
 Codes are kept in blocks of rows, queries in blocks too. For each pair of blocks a table scan adds,
 for every packed byte, the query's entry of a 256-entry table (two parts at once) and keeps the best
-``rerank`` rows of each query; the best of all blocks are ranked again by the exact inner product.
+rows of each query; those of all blocks are ranked again by the exact inner product. As many from
+every block, their number follows that of the blocks, so that recall doesn't fall as rows are added.
 Equal vectors count as one in the scan; of each, the ids that may be needed are kept.
 """
 
@@ -25,7 +26,8 @@ from .common import Workspace, bound_batches
 SAMPLE = 20_000
 ROW_BLOCK = 16_384
 QUERY_BLOCK = 256
-RERANK = 100
+#: Rows of each block that are ranked again, and rows in all at least.
+RERANK_BLOCK, RERANK = 64, 256
 ETA = 4.0
 
 
@@ -116,7 +118,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", rerank: int = RERANK, dims: int = 2) -> DataFrame:
+def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", rerank: int = RERANK, rerank_block: int = RERANK_BLOCK, dims: int = 2) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows by inner product for each row where ``query`` holds.
 
     Ties go to the smaller vec_id; a query's own vec_id is no candidate. Vectors that are null, zero,
@@ -164,6 +166,7 @@ def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id",
     row_blocks, n_rows = blocks(coded, ROW_BLOCK, ["row", "code"], "rb", "row-blocks")
     queries = base.where("is_query").select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id", "v"])
     query_blocks, n_queries = blocks(queries, QUERY_BLOCK, ["query_id", "v"], "qb", "query-blocks")
+    each = max(rerank_block, rerank // n_rows)
     # Each block meets each: blocks are joined by the number of their pair
     left = query_blocks.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
     pairs = left.repartition(max(1, n_rows * n_queries), "qb", "rb").join(row_blocks, "rb")
@@ -182,17 +185,15 @@ def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id",
                     score = np.zeros((tables.shape[0], len(rows_)), np.float32)
                     for byte in range(codes.shape[0]):
                         score += tables[:, byte].take(codes[byte], axis=1)
-                    n = min(rerank, len(rows_))
+                    n = min(each, len(rows_))
                     best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    top = np.take_along_axis(score, best, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids_[lo : lo + 16], pa.int64()), pa.array(list(v[lo : lo + 16]), pa.list_(pa.float64())), pa.array(list(rows_[best]), pa.list_(pa.int64())), pa.array(list(top), pa.list_(pa.float32()))], ["query_id", "q", "rows", "scores"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_[lo : lo + 16], pa.int64()), pa.array(list(v[lo : lo + 16]), pa.list_(pa.float64())), pa.array(list(rows_[best]), pa.list_(pa.int64()))], ["query_id", "q", "rows"])
 
-    found = pairs.select("rb", "query_ids", "vs", "rows", "codes").mapInArrow(scan, "query_id long, q array<double>, rows array<long>, scores array<float>")
-    merged = found.groupBy("query_id", "q").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "rows"))).alias("all"))  # ``rerank`` for each block
-    merged = merged.select("query_id", "q", F.explode(F.slice(F.reverse(F.array_sort("all")), 1, rerank)).alias("x")).select("query_id", "q", F.col("x.rows").alias("row"))
+    found = pairs.select("rb", "query_ids", "vs", "rows", "codes").mapInArrow(scan, "query_id long, q array<double>, rows array<long>")
+    merged = found.select("query_id", "q", F.explode("rows").alias("row"))
     exact = merged.join(index, "row").select("query_id", "ids", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p).alias("score"))
-    each = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    best = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    members = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    best = members.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
