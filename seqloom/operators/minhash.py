@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.kmers import affine, seeded_murmur, shingles
+from ..plans.workspace import Workspace
 from .shingling import create_char_matrix, create_vocab, shingle_table
 
 _MAX = 0xFFFFFFFF
@@ -84,7 +85,7 @@ class MinHash:
 
 def minhash(seqs: DataFrame, k: int, n_hash: int, seed: int = 0, params: list[tuple[int, int]] | None = None, modulus: int | None = None) -> MinHash:
     """The affine pipeline. The modulus is the vocabulary's size unless another (a prime) is named."""
-    vocab = create_vocab(seqs, k)
+    vocab = Workspace(seqs.sparkSession, "minhash").save(create_vocab(seqs, k), "vocab")  # counted and joined: made once
     v = vocab.count()
     m = modulus or v
     if params is None:
@@ -194,7 +195,5 @@ def similarity_mh(seqs: DataFrame, k: int = 4, n_hash: int = 50, seed: int = 0,
 def permutation_minhash(char_matrix: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
     """(seq_id, perm, first): the place of the first row a sequence has, in seeded random orders of the vocabulary's rows."""
     perms = char_matrix.select("rank").distinct().select("rank", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    from pyspark.sql import Window
-
     places = perms.withColumn("place", F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "perm", "rank")))))
     return char_matrix.join(places, "rank").groupBy("seq_id", "perm").agg(F.min("place").alias("first"))
