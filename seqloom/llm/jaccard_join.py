@@ -12,9 +12,9 @@ and no link is lost.
 
 Equal sets are one class from the start. Blocks that classes share give candidates in rounds. The
 first proposes for each class the group's least member it meets most often, which contracts groups of
-near copies; later rounds propose pairs of different components only, for each class and component
-the few of the least Hamming distance, then more, then all. Pairs are verified on whole shingle
-sets. Rounds end when nothing was held back, hence components are exact.
+near copies; later rounds propose pairs of different components only: for each class the one of the
+least Hamming distance as long as that brings links, then more, then all. Pairs are verified on whole
+shingle sets. Rounds end when nothing was held back, hence components are exact.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, bound_batches, partitions
+from .common import Workspace, bound_batches, partitions, release
 from .components import connected
 
 #: Ids up to this many are broadcast (16 bytes each), more are shuffled.
@@ -201,7 +201,7 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _proposals(num: int, den: int, most: int | None):
-    """Of rows (key, i, j, block, cid, comp, n, sketch) sorted by the first three: pairs a, b of different components that may link, and whether any were held back."""
+    """Of rows (key, i, j, block, cid, comp, n, sketch) sorted by the first three: pairs a, b of different components that may link, and a pair of -1 if any were held back."""
 
     def group(block, i, j, cid, comp, n, sk) -> tuple[np.ndarray, np.ndarray, bool]:
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -220,16 +220,17 @@ def _proposals(num: int, den: int, most: int | None):
             far = np.bitwise_count(sk[x] ^ sk[y]).sum(1)
             near = far <= np.minimum(n[x], n[y]) * (den - num) // num
             x, y, far = x[near], y[near], far[near]
-            if most is not None and len(x):  # the nearest of each class and other component
-                for turned in (False, True):
-                    p, q = (y, x) if turned else (x, y)
-                    order = np.lexsort((far, comp[q], cid[p]))
-                    cp, cq = cid[p][order], comp[q][order]
-                    start = np.concatenate(([True], (cp[1:] != cp[:-1]) | (cq[1:] != cq[:-1])))
-                    at = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
-                    kept = np.sort(order[at < most])
-                    held |= len(kept) < len(x)
-                    x, y, far = x[kept], y[kept], far[kept]
+            if most is not None and len(x):  # the nearest of each class; of as near ones, any
+                order = np.lexsort((far, cid[x]))
+                back = np.lexsort((far, cid[y]))
+                kept = np.zeros(len(x), bool)
+                for way, end in ((order, x), (back, y)):
+                    who = cid[end][way]
+                    start = np.concatenate(([True], who[1:] != who[:-1]))
+                    at = np.arange(len(way)) - np.maximum.accumulate(np.where(start, np.arange(len(way)), 0))
+                    kept[way[at < most]] = True
+                held |= not kept.all()
+                x, y = x[kept], y[kept]
             found_a.append(np.minimum(cid[x], cid[y]))
             found_b.append(np.maximum(cid[x], cid[y]))
         none = np.empty(0, np.int64)
@@ -313,6 +314,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     classes = classes.drop("lo", "hi")
     keys = rows.where("keys is not null").select(F.explode("keys").alias("key"), "cid")
     shared = work.save(keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "cid").mapInArrow(_shared, "key long, cid long, least long"), "shared")
+    rows = work.save(rows.select("doc_id", "n", "cid"), "rows")
+    work.drop(f"sketches-{seed}")
+    release(spark)
     met = work.save(shared.groupBy("cid").agg(F.lit(1).alias("one")).select("cid").join(classes.select("cid", "doc_id"), "cid"), "met")
     few = met.count() <= BROADCAST_ROWS
     wanted = met.select(F.col("doc_id").alias("_id"))
@@ -323,21 +327,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     hub = shared.where("cid <> least").groupBy("cid", "least").count().groupBy("cid").agg(F.max_by("least", F.struct("count", -F.col("least"))).alias("a"))
     links = work.save(verified(hub.select("a", F.col("cid").alias("b")), sets, num, den), "links-0")
     root = connected(links, work, "cc-0")
-    for k, most in enumerate((4, 64, None), 1):
+    release(spark)
+    tried, k, most = None, 0, 1
+    while True:
+        k += 1
         with_comp = shared.select("key", "cid").join(root.select(F.col("id").alias("cid"), "root"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
         mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / GROUP_BLOCK).cast("int").alias("blocks"))
         members = with_comp.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         dealt = members.select("key", "cid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp").join(classes.select("cid", "n", "sketch"), "cid")
         dealt = dealt.select("key", "i", "j", "block", "cid", "comp", "n", "sketch").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = work.save(dealt.mapInArrow(_proposals(num, den, most), "a long, b long").distinct(), f"pairs-{k}")
+        # A pair that was verified in an earlier round and fails stays failed
+        proposed = dealt.mapInArrow(_proposals(num, den, most), "a long, b long").distinct()
+        pairs = work.save(proposed.join(tried, ["a", "b"], "left_anti") if tried is not None else proposed, f"pairs-{k}")
         held = not pairs.where("a < 0").isEmpty()
-        more = work.save(verified(pairs.where("a >= 0"), sets, num, den), f"links-{k}")
-        if not more.isEmpty():
+        fresh = pairs.where("a >= 0")
+        more = work.save(verified(fresh, sets, num, den), f"links-{k}")
+        found = not more.isEmpty()
+        if found:
             links = work.save(links.unionByName(more), f"all-links-{k}")
             root = connected(links, work, f"cc-{k}")
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        release(spark)
         if not held:
             break
+        if not found:
+            most = None if most > 1 else 16
+    work.drop("shared", "met", "sets", *(f"{t}-{i}" for i in range(k + 1) for t in ("pairs", "links", "all-links")))
     named = classes.select("cid", "doc_id").join(root.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "root").select("cid", "component_id")
