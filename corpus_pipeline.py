@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm.common import shared_dir
+from seqloom.llm.common import Workspace, shared_dir
 from seqloom.llm.jaccard_join import BROADCAST_ROWS, near_duplicates
 from seqloom.llm.mixing import mix
 from seqloom.llm.packing import pack_documents
@@ -20,11 +20,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group linked by 0.8 of five-word shingles."""
-    groups = near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    """Keeps one row of each group linked by 0.8 of five-word shingles: the least doc_id's, nulls last; of several, any.
+
+    Rows are told apart by a key of their own. Rows without shingles stay.
+    """
+    keyed = Workspace(spark, "pipeline-rows").save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(keyed, doc_id="_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")).alias("_first"))
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min("_first")["_row"].alias("_row")).select("_row")
+    gone = Workspace(spark, "pipeline-gone").save(groups.select("_row").join(kept, "_row", "left_anti"), "gone")
     small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(gone) if small else gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

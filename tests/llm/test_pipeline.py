@@ -49,6 +49,16 @@ def test_stages(spark, corpus):
     assert P.run(spark, root).count() == packed.count()
 
 
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated rows, null doc_ids and a doc_id that two texts share."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(7, text("a")), (7, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (3, text("c")), (5, text("c")), (5, text("d")), (9, None), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in P.near_duplicate(spark, docs, str(tmp_path)).collect()]
+    want = [(7, text("a")), (None, text("b")), (3, text("c")), (5, text("d")), (9, None), (9, None), (None, "")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_stage_names():
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "mixing", "packing"] and P.ORACLE_SQL is None
 
