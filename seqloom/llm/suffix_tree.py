@@ -1,14 +1,15 @@
 """Language-model scores from a probabilistic suffix tree.
 
 A text is its lower-cased words, a blank after each, and an end sign. The tree's symbols are bytes;
-a state is a context of up to ``depth`` bytes. A context is kept if it has at least ``p_min`` of all
-positions and a divergence test holds: its next-byte distribution differs from its suffix's by more
+a state is a context of up to ``depth`` bytes. A context is kept if it occurs ``LEAST`` times or more
+(and in ``p_min`` of all positions, if given) and a divergence test holds: its next-byte distribution differs from its suffix's by more
 nats over all its occurrences than ``gain`` for each next byte it has seen. Suffixes of kept contexts are
 kept. Distributions are smoothed by their suffix state's, down to a uniform start. A byte is scored in
 the longest kept suffix of what stands before it; a word's probability is its bytes' product.
 
-``p_min`` bounds the states to ``depth / p_min`` at any corpus size, so that they can be broadcast.
-The word counts of the base score grow with the corpus and stay a table: frequent words (at most
+The least count is absolute, so that the states grow with the corpus and a context kept in a part of
+it isn't dropped in the whole. Both tests run as joins; the states that hold are broadcast.
+The word counts of the base score stay a table: frequent words (at most
 ``hot`` of them) are looked up in memory, all others in a join.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import Workspace, bound_batches
 
 DEPTH = 5
-P_MIN = 1e-6
+P_MIN = 0.0
 GAIN = 2.0
 KAPPA = 4.0
 LEAST = 4
@@ -262,23 +263,43 @@ def count(docs: DataFrame, work: Workspace, depth: int = DEPTH) -> tuple[DataFra
     return work.save(words, "words"), work.save(codes, "codes")
 
 
-def grow(codes: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
-    """The tree of window counts. What reaches the driver are contexts with p_min of the positions at least: depth / p_min at most."""
+def levels(codes: DataFrame, work: Workspace, depth: int = DEPTH, p_min: float = P_MIN, gain: float = GAIN, kappa: float = KAPPA) -> DataFrame:
+    """(k, code, n) of the contexts that build keeps, with all next bytes: the divergence test and the closure under suffixes as joins."""
     total = codes.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST, p_min * total)
-    levels = []
-    for k in range(depth, -1, -1):
-        part = codes.select(F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n"))
-        if k:
-            whole = F.sum("n").over(Window.partitionBy(F.shiftrightunsigned("code", 8)))  # 256 rows at most
-            part = part.withColumn("whole", whole).where(F.col("whole") >= least).drop("whole")
-        levels.append(part.withColumn("k", F.lit(k)))
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    t = out.toArrow()
+    part = lambda k: codes.select(F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n"))
+    root = work.save(part(0), "level-0")
+    below = root.select(F.col("code").alias("suffix"), ((F.col("n") + 0.5) / (total + 128)).alias("below"))
+    kept = []
+    for k in range(1, depth + 1):
+        of = Window.partitionBy("ctx")  # 256 rows at most
+        level = part(k).withColumn("ctx", F.shiftrightunsigned("code", 8)).withColumn("whole", F.sum("n").over(of)).where(F.col("whole") >= least)
+        level = level.withColumn("suffix", F.col("code").bitwiseAND((1 << 8 * k) - 1)).join(below, "suffix")
+        p = (F.col("n") + kappa * F.col("below")) / (F.col("whole") + kappa)
+        level = level.withColumn("p", p).withColumn("loss", F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("below"))).over(of))
+        level = level.withColumn("good", F.col("loss") > gain * F.count(F.lit(1)).over(of))
+        level = work.save(level.select("ctx", "code", "n", "p", "good"), f"level-{k}")
+        kept.append(level)
+        below = level.select(F.col("code").alias("suffix"), F.col("p").alias("below"))
+    needed = None
+    for k in range(depth, 0, -1):  # suffixes of kept contexts stay
+        good = kept[k - 1].where("good").select("ctx").distinct()
+        stay = work.save(good.unionByName(needed).distinct() if needed is not None else good, f"stay-{k}")
+        needed = stay.select(F.col("ctx").bitwiseAND((1 << 8 * (k - 1)) - 1).alias("ctx")).distinct() if k > 1 else None
+        kept[k - 1] = kept[k - 1].join(stay, "ctx", "left_semi").select("code", "n").withColumn("k", F.lit(k))
+    out = root.select("code", "n").withColumn("k", F.lit(0))
+    for level in kept:
+        out = out.unionByName(level)
+    return out
+
+
+def grow(codes: DataFrame, work: Workspace, depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
+    """The tree of window counts. Contexts reach the driver after the tests, so that their number is that of the tree's states."""
+    t = levels(codes, work, depth, p_min).toArrow()
     get = lambda c: t.column(c).to_numpy()
-    return build(get("k"), get("code").astype(np.int64).view(np.uint64), get("n"), depth, least=LEAST)
+    tree = build(get("k"), get("code").astype(np.int64).view(np.uint64), get("n"), depth, least=LEAST)
+    work.drop(*(f"{x}-{k}" for x in ("level", "stay") for k in range(depth + 1)))
+    return tree
 
 
 def score_documents(docs: DataFrame, training: Column, depth: int = DEPTH, p_min: float = P_MIN, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,7 +327,7 @@ def score_documents(docs: DataFrame, training: Column, depth: int = DEPTH, p_min
         bound = r.lo
     often = words.where(F.col("n") >= bound).toArrow() if bound is not None else None
     table = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True)) if often else {}
-    shared = spark.sparkContext.broadcast((grow(codes, depth, p_min), table))
+    shared = spark.sparkContext.broadcast((grow(codes, work, depth, p_min), table))
     below = n_train + 0.5 * (v + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -412,6 +412,29 @@ def test_suffix_tree_uses_contexts(spark):
     assert total.s > 0.6 * total.b
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A context that a part of the corpus keeps isn't dropped because the rest doesn't have it."""
+    rng = random.Random(4)
+    rest = [" ".join(rng.choice(["lorem", "ipsum", "dolor"]) for _ in range(4000)) for _ in range(300)]
+    part = ["qzxj" * 2] * 3
+    codes = lambda texts, name: T.count(documents(spark, texts).select(F.encode("text", "UTF-8").alias("data")), Workspace(spark, name))[1]
+    small, large = (set(T.grow(codes(x, "grow"), Workspace(spark, "grow")).states.tolist()) for x in (part, part + rest))
+    new = ord("z") | 1 << 56
+    assert new in small and new in large
+
+
+def test_suffix_tree_levels_are_those_of_build(spark):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 6))) for _ in range(40)) for _ in range(60)]
+    work = Workspace(spark, "levels")
+    tree = T.grow(T.count(documents(spark, texts).select(F.encode("text", "UTF-8").alias("data")), work)[1], work)
+    code, _ = T.windows([T.words_of(t.encode()) for t in texts])
+    parts = [np.unique(code & T._mask(k + 1), return_counts=True) for k in range(T.DEPTH + 1)]
+    whole = T.build(np.repeat(np.arange(T.DEPTH + 1), [len(u) for u, _ in parts]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+    assert tree.states.tolist() == whole.states.tolist() and tree.entries.tolist() == whole.entries.tolist()
+    assert np.allclose(tree.logp, whole.logp) and np.allclose(tree.escape, whole.escape)
+
+
 def test_quotations(spark):
     rows = [
         ("c", 0, "user", "Hello there.\nHow are you?"),
