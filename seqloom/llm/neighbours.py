@@ -5,10 +5,11 @@ and centroids minimise ``|r|^2 + (eta - 1) (r . x)^2 / |x|^2`` for the residual
 that errors along the vector, which change its large inner products most, weigh eta times. They are
 learnt on a bounded sample by coordinate descent: codes part by part, centroids by least squares.
 
-Codes are kept in blocks of rows, queries in blocks too. For each pair of blocks a table scan adds,
-for every packed byte, the query's entry of a 256-entry table (two parts at once) and keeps the best
-rows of each query; those of all blocks are ranked again by the exact inner product. As many from
-every block, their number follows that of the blocks, so that recall doesn't fall as rows are added.
+Codes are kept in blocks of rows with the vectors and the lengths of their residuals, queries in blocks
+too. For each pair of blocks a table scan adds, for every packed byte, the query's entry of a 256-entry
+table (two parts at once). The exact products of the rows that scan best give a bound that the block's
+k-th best reaches; every row whose score plus the greatest error its residual allows comes up to it is
+ranked by the exact product, so that the scan drops rows but never a neighbour, at any number of blocks.
 Equal vectors count as one in the scan; of each, the ids that may be needed are kept.
 """
 
@@ -26,8 +27,8 @@ from .common import Workspace, bound_batches
 SAMPLE = 20_000
 ROW_BLOCK = 16_384
 QUERY_BLOCK = 256
-#: Rows of each block that are ranked again, and rows in all at least.
-RERANK_BLOCK, RERANK = 64, 256
+#: Rows of each block whose exact products set the bound for the others.
+RERANK_BLOCK = 64
 ETA = 4.0
 
 
@@ -67,6 +68,11 @@ class Quantiser:
                 total = rest + along[rows, j, code[:, j]]
         return code.astype(np.uint8)
 
+    def residuals(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes leave of each row."""
+        near = self.centroids[np.arange(len(self.centroids))[None], code.astype(int)]
+        return np.sqrt(((self._cut(x) - near) ** 2).sum((1, 2)))
+
     def pack(self, code: np.ndarray) -> np.ndarray:
         """Two codes a byte."""
         if code.shape[1] % 2:
@@ -118,7 +124,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", rerank: int = RERANK, rerank_block: int = RERANK_BLOCK, dims: int = 2) -> DataFrame:
+def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", rerank_block: int = RERANK_BLOCK, dims: int = 2) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows by inner product for each row where ``query`` holds.
 
     Ties go to the smaller vec_id; a query's own vec_id is no candidate. Vectors that are null, zero,
@@ -153,8 +159,9 @@ def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id",
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                packed = q.pack(q.codes(flat(part.column(1))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["row", "code"])
+                x = flat(part.column(1))
+                code = q.codes(x)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in q.pack(code)], pa.binary()), pa.array(q.residuals(x, code)), part.column(1)], ["row", "code", "rest", "x"])
 
     def blocks(df: DataFrame, size: int, columns: list[str], key: str, name: str) -> tuple[DataFrame, int]:
         """Rows gathered by hash into blocks of about ``size`` rows, a bounded number each."""
@@ -162,14 +169,21 @@ def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id",
         lists = df.withColumn(key, F.pmod(F.xxhash64(columns[0], F.lit(7)), F.lit(n)).cast("int")).groupBy(key).agg(*(F.collect_list(c).alias(f"{c}s") for c in columns))
         return work.save(lists, name), n
 
-    coded = work.save(index.select("row", "v").mapInArrow(encode, "row long, code binary"), "codes")
-    row_blocks, n_rows = blocks(coded, ROW_BLOCK, ["row", "code"], "rb", "row-blocks")
+    coded = work.save(index.select("row", "v").mapInArrow(encode, "row long, code binary, rest double, x array<double>"), "codes")
+    row_blocks, n_rows = blocks(coded, ROW_BLOCK, ["row", "code", "rest", "x"], "rb", "row-blocks")
     queries = base.where("is_query").select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id", "v"])
     query_blocks, n_queries = blocks(queries, QUERY_BLOCK, ["query_id", "v"], "qb", "query-blocks")
-    each = max(rerank_block, rerank // n_rows)
-    # Each block meets each: blocks are joined by the number of their pair
-    left = query_blocks.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-    pairs = left.repartition(max(1, n_rows * n_queries), "qb", "rb").join(row_blocks, "rb")
+    # Each block meets each. Few row blocks are copied, so that all tasks have work
+    copies = max(1, min(n_queries, -(-spark.sparkContext.defaultParallelism // n_rows)))
+    left = query_blocks.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))).withColumn("copy", F.pmod("qb", F.lit(copies)))
+    pairs = left.join(row_blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))), ["rb", "copy"])
+
+    def product(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Component by component, as the last ranking adds."""
+        out = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            out += v[d] * x[:, d]
+        return out
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
@@ -178,18 +192,29 @@ def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id",
                 t = b.slice(at, 1)
                 rows_ = t.column(3).flatten().to_numpy(zero_copy_only=False)
                 codes = np.frombuffer(b"".join(t.column(4).flatten().to_pylist()), np.uint8).reshape(len(rows_), -1).T.copy()
+                rest = t.column(5).flatten().to_numpy(zero_copy_only=False)
+                x = t.column(6).flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(rows_), -1)
                 ids_ = t.column(1).flatten().to_numpy(zero_copy_only=False)
                 v = t.column(2).flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(ids_), -1)
+                # What a score may be off: by the residual, and by the rounding of 32-bit sums
+                off = rest + (codes.shape[0] * 2 + 4) * 2.0**-23 * (np.sqrt((x**2).sum(1)) + rest)
+                some, need = min(max(rerank_block, k + 1), len(rows_)), min(k + 1, len(rows_))
                 for lo in range(0, len(ids_), 16):
                     tables = q.tables(v[lo : lo + 16])
                     score = np.zeros((tables.shape[0], len(rows_)), np.float32)
                     for byte in range(codes.shape[0]):
                         score += tables[:, byte].take(codes[byte], axis=1)
-                    n = min(each, len(rows_))
-                    best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids_[lo : lo + 16], pa.int64()), pa.array(list(v[lo : lo + 16]), pa.list_(pa.float64())), pa.array(list(rows_[best]), pa.list_(pa.int64()))], ["query_id", "q", "rows"])
-
-    found = pairs.select("rb", "query_ids", "vs", "rows", "codes").mapInArrow(scan, "query_id long, q array<double>, rows array<long>")
+                    best = []
+                    for one, s in zip(v[lo : lo + 16], score, strict=True):
+                        size = np.sqrt((one**2).sum())
+                        first = product(x[np.argpartition(-s, some - 1)[:some]], one)
+                        bound = np.partition(first, some - need)[some - need]
+                        may = np.flatnonzero(s + off * size >= bound - 1e-12 * abs(bound))
+                        exact = product(x[may], one)
+                        best.append(rows_[may[np.lexsort((rows_[may], -exact))[:need]]])  # ties: the smaller ids
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_[lo : lo + 16], pa.int64()), pa.array(list(v[lo : lo + 16]), pa.list_(pa.float64())), pa.array(best, pa.list_(pa.int64()))], ["query_id", "q", "rows"])
+
+    found = pairs.select("rb", "query_ids", "vs", "rows", "codes", "rests", "xs").mapInArrow(scan, "query_id long, q array<double>, rows array<long>")
     merged = found.select("query_id", "q", F.explode("rows").alias("row"))
     exact = merged.join(index, "row").select("query_id", "ids", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p).alias("score"))
     members = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")

@@ -346,6 +346,26 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_near_copies_are_exact(spark, monkeypatch):
+    """Several blocks, a third of the rows near copies of one vector that share their codes."""
+    monkeypatch.setattr(neighbours, "ROW_BLOCK", 1000)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3600, 16))
+    x[:1200] = x[0] + rng.normal(size=(1200, 16)) * 1e-4
+    x[3000:3100] = x[2999]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, 3600, 100))
+    for q, found in got.items():
+        s = np.zeros(len(x))
+        for d in range(16):
+            s += x[q, d] * x[:, d]
+        s[q] = -np.inf
+        assert found == np.lexsort((np.arange(len(x)), -s))[:20].tolist()
+
+
 def test_anisotropic_codes_beat_plain_ones_on_products():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 16))
