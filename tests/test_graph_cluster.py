@@ -153,3 +153,12 @@ def test_analytics(spark):
     assert A.adjusted_rand_index(one, "a", "b").first()[0] is None
     strata = spark.createDataFrame([(i, i % 2) for i in range(21)], "id int, g int")
     assert {r.g: r["count"] for r in A.stratified_sample(strata, "g", 0.3, F.col("id")).groupBy("g").count().collect()} == {0: 3, 1: 3}
+
+
+def test_euclid_dist_of_all_vectors(spark, tmp_path):
+    from seqloom.plans.catalogue import QUERIES
+
+    v = [[float((i * 7 + d * 3) % 11) for d in range(4)] for i in range(12)]
+    spark.createDataFrame([(i, x, i % 2) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.i, r.j): r.distance for r in QUERIES["euclid_dist_vectors"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j): round(sum((a - b) ** 2 for a, b in zip(v[i], v[j])) ** 0.5, 6) for i, j in itertools.combinations(range(12), 2)}
