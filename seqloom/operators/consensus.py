@@ -20,15 +20,18 @@ _CODES = {frozenset("DN"): "B", frozenset("EQ"): "Z", frozenset("IL"): "J"}
 MAX_MEMBERS = 20_000
 
 
-def multiple_alignment(seqs: list[str], matrix: np.ndarray, gap_open: int = 10, gap_ext: int = 4) -> list[str]:
-    """Star alignment around the member with the greatest identity to the others; gaps once made stay."""
+#: Different members whose pairs one task aligns; larger clusters are dealt out by pairs of blocks.
+CENTRE_BLOCK = 200
+
+
+def multiple_alignment(seqs: list[str], matrix: np.ndarray, gap_open: int = 10, gap_ext: int = 4, centre: str | None = None) -> list[str]:
+    """Star alignment around the member with the greatest mean identity to all others, or a given one; gaps once made stay."""
     distinct = list(dict.fromkeys(seqs))
     if len(distinct) == 1:
         return list(seqs)
-    pick = distinct[:200]
-    pairs = [(a, b) for a in pick for b in pick if a != b]
-    mean = identities([a for a, _ in pairs], [b for _, b in pairs], matrix, gap_open, gap_ext).reshape(len(pick), -1).mean(1)
-    centre = pick[int(np.argmax(mean))]
+    if centre is None:
+        mean = [identities([a] * (len(distinct) - 1), [b for b in distinct if b != a], matrix, gap_open, gap_ext).mean() for a in distinct]
+        centre = distinct[int(np.argmax(mean))]
     paths = {s: path(centre, s, matrix, gap_open, gap_ext) for s in distinct}
     room = [0] * (len(centre) + 1)  # insertions before each of the centre's residues
     for p in paths.values():
@@ -82,6 +85,27 @@ def consensus_string(rows: list[str], threshold: float = 0.05, ambiguity: bool =
     return "".join(out)
 
 
+def centres(clustered: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """(c_index, centre) of clusters with more than 200 different members: the greatest mean identity to all others, the least seq_id of several."""
+    members = clustered.groupBy("c_index", "pep").agg(F.min("seq_id").alias("seq_id"))
+    sizes = members.groupBy("c_index").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CENTRE_BLOCK)
+    dealt = members.join(sizes, "c_index").withColumn("blocks", F.ceil(F.col("n") / CENTRE_BLOCK)).withColumn("block", F.pmod(F.xxhash64("pep"), F.col("blocks")))
+    lists = dealt.groupBy("c_index", "n", "blocks", "block").agg(F.collect_list(F.struct("seq_id", "pep")).alias("members"))
+    left = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = lists.select("c_index", F.col("block").alias("other"), F.col("members.pep").alias("others"))
+    pairs = left.join(right, ["c_index", "other"]).select("c_index", "n", "members.seq_id", "members.pep", "others")
+
+    def run(frames):
+        for f in frames:
+            for t in f.itertuples(index=False):
+                total = [identities([a] * len(o), o, matrix).sum() for a in t.pep for o in [[b for b in t.others if b != a]]]
+                yield pd.DataFrame({"c_index": t.c_index, "n": t.n, "seq_id": t.seq_id, "pep": t.pep, "total": total})
+
+    parts = pairs.mapInPandas(run, f"c_index string, n long, seq_id {clustered.schema['seq_id'].dataType.simpleString()}, pep string, total double")
+    mean = parts.groupBy("c_index", "seq_id", "pep").agg(F.round(F.sum("total") / (F.first("n") - 1), 12).alias("mean"))
+    return mean.groupBy("c_index").agg(F.min_by("pep", F.struct(-F.col("mean"), "seq_id")).alias("centre"))
+
+
 def cluster_consensus(clustered: DataFrame, threshold: float = 0.05, ambiguity: bool = True, matrix_name: str = "BLOSUM62") -> DataFrame:
     """(cluster_id, consensus) of (seq_id, pep, c_index); single members pass through; an empty table gives an empty one.
 
@@ -94,9 +118,12 @@ def cluster_consensus(clustered: DataFrame, threshold: float = 0.05, ambiguity:
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         peps = f.sort_values("seq_id")["pep"].tolist()
-        return pd.DataFrame({"cluster_id": f["c_index"].iloc[:1], "consensus": [consensus_string(multiple_alignment(peps, matrix), threshold, ambiguity)]})
+        centre = f["centre"].iloc[0]
+        rows = multiple_alignment(peps, matrix, centre=centre if isinstance(centre, str) else None)
+        return pd.DataFrame({"cluster_id": f["c_index"].iloc[:1], "consensus": [consensus_string(rows, threshold, ambiguity)]})
 
-    return clustered.select("seq_id", "pep", "c_index").groupBy("c_index").applyInPandas(run, "cluster_id string, consensus string")
+    clustered = clustered.select("seq_id", "pep", "c_index")
+    return clustered.join(centres(clustered, matrix), "c_index", "left").groupBy("c_index").applyInPandas(run, "cluster_id string, consensus string")
 
 
 def column_majority(clustered: DataFrame) -> DataFrame:

@@ -155,6 +155,18 @@ def test_analytics(spark):
     assert {r.g: r["count"] for r in A.stratified_sample(strata, "g", 0.3, F.col("id")).groupBy("g").count().collect()} == {0: 3, 1: 3}
 
 
+def test_centre_beyond_200_members(spark):
+    """The most central member comes after 200 others by seq_id."""
+    far = ["".join("ARNDCQEGHI"[(i // 10**d) % 10] * 2 for d in range(3)) + "W" * 4 for i in range(205)]
+    peps = [*far, "A" * 6 + "W" * 4 + "KL"]
+    df = spark.createDataFrame([(i, p, "1") for i, p in enumerate(peps)], "seq_id long, pep string, c_index string")
+    m = N.substitution_matrix("BLOSUM62")
+    mean = [N.identities([p] * (len(peps) - 1), [q for q in peps if q != p], m).mean().round(12) for p in peps]
+    want = peps[max(range(len(peps)), key=lambda k: (mean[k], -k))]
+    assert N.centres(df, m).first().centre == want
+    assert N.cluster_consensus(df).count() == 1
+
+
 def test_euclid_dist_of_all_vectors(spark, tmp_path):
     from seqloom.plans.catalogue import QUERIES
 
