@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Workspace, bound_batches
 
-DEPTH = 5
+DEPTH = 6
 P_MIN = 0.0
 GAIN = 2.0
 KAPPA = 4.0

@@ -455,6 +455,15 @@ def test_suffix_tree_levels_are_those_of_build(spark):
     assert np.allclose(tree.logp, whole.logp) and np.allclose(tree.escape, whole.escape)
 
 
+def test_suffix_tree_keeps_contexts_of_six_bytes():
+    """The last byte of a word is told by its first only, six bytes before."""
+    code, _ = T.windows([[b"1bcdef1", b"2bcdef2"]] * 40)
+    parts = [np.unique(code & T._mask(k + 1), return_counts=True) for k in range(T.DEPTH + 1)]
+    tree = T.build(np.repeat(np.arange(T.DEPTH + 1), [len(u) for u, _ in parts]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+    right = int.from_bytes(b"1bcdef1", "big") & int(T._mask(T.DEPTH + 1))
+    assert tree.score(np.array([right], np.uint64))[0] > -0.1
+
+
 def test_quotations(spark):
     rows = [
         ("c", 0, "user", "Hello there.\nHow are you?"),
