@@ -10,11 +10,16 @@ it is enough to join on the T + 1 blocks that come first in an order all documen
 puts blocks of many shingles first, so that empty blocks and those of one frequent shingle drop out
 and no link is lost.
 
-Equal sets are one class from the start. Blocks that classes share give candidates in rounds. The
-first proposes for each class the group's least member it meets most often, which contracts groups of
-near copies; later rounds propose pairs of different components only: for each class the one of the
-least Hamming distance as long as that brings links, then more, then all. Pairs are verified on whole
-shingle sets. Rounds end when nothing was held back, hence components are exact.
+Equal sets are one class from the start. A key that several classes share belongs to its least class.
+First each class is verified against the least class it meets most often, which contracts groups of near
+copies with one pair a class. What is left are keys whose classes lie in different components. Their
+classes are gathered, once for each least class, with their whole sets; there each pair of different
+components is tested, first by the Hamming distance of parity sketches whose width fits the band, then
+on the whole sets, and only links that join two components leave the task: fewer than it has classes. So
+every pair that shares a key is linked, known to be connected, or refuted, and components are exact.
+Large gatherings are dealt out: the component of the greatest part in blocks that each meet all others.
+
+Sets are compared by 64-bit hashes of shingles; words aren't compared.
 """
 
 from __future__ import annotations
@@ -30,9 +35,12 @@ from .components import connected
 
 #: Ids up to this many are broadcast (16 bytes each), more are shuffled.
 BROADCAST_ROWS = 500_000
-#: Members of a block of a group; larger groups are dealt out by pairs of blocks.
-GROUP_BLOCK = 4096
-SKETCH_BITS = 512
+#: Hashes of the sets that one side of a gathering may hold; larger ones are dealt out by pairs of blocks.
+BLOCK_HASHES = 2_000_000
+#: What a member counts besides its hashes.
+ROW_HASHES = 256
+#: Members up to which a gathering's pairs are verified without sketches.
+FEW = 4
 
 _M = (1 << 64) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -122,8 +130,12 @@ def block_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def parity(shingles: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+def parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """(sets, bits / 64): bit b of a set's sketch is the parity of its hashes that fall on b."""
+    out = np.empty((len(sets), bits // 64), np.uint64)
+    for row, s in zip(out, sets, strict=True):
+        row[:] = np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+    return out
 
 
 def class_id(shingles: np.ndarray) -> int:
@@ -137,31 +149,31 @@ def check_id(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
-    """doc_id, n, cid, sum, sketch, keys; a task gives sketch and keys of a class once."""
+    """doc_id, n, cid, sum, keys; a task gives the keys of a class once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                out: tuple[list, ...] = ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [])
                 for data in part.column(1).to_pylist():
                     s = shingle_set(data or b"", k, seed)
                     if not len(s):
-                        row = (0, None, None, None, None)
+                        row = (0, None, None, None)
                     else:
                         c = class_id(s)
                         new = c not in seen
-                        row = (len(s), c, check_id(s), parity(s) if new else None, block_keys(s, num, den).view(np.int64) if new else None)
+                        row = (len(s), c, check_id(s), block_keys(s, num, den).view(np.int64) if new else None)
                         seen.add(c)
                         if len(seen) > 300_000:
                             seen.clear()
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "n", "cid", "sum", "sketch", "keys"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "n", "cid", "sum", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, sum long, sketch binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, cid long, sum long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, k: int, seed: int) -> DataFrame:
@@ -200,94 +212,114 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64()), pa.array(m, pa.int64())], ["key", "cid", "least"])
 
 
-def _proposals(num: int, den: int, most: int | None):
-    """Of rows (key, i, j, block, cid, comp, n, sketch) sorted by the first three: pairs a, b of different components that may link, and a pair of -1 if any were held back."""
-
-    def group(block, i, j, cid, comp, n, sk) -> tuple[np.ndarray, np.ndarray, bool]:
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b, held = [], [], False
-        step = max(1, 2_000_000 // max(1, len(right)))
-        for lo in range(0, len(left), step):
-            a = left[lo : lo + step]
-            small, large = np.minimum(n[a][:, None], n[right]), np.maximum(n[a][:, None], n[right])
-            ok = (comp[a][:, None] != comp[right]) & (small * den >= large * num)
-            if i == j:
-                ok &= cid[a][:, None] < cid[right]
-            x, y = np.nonzero(ok)
-            if not len(x):
-                continue
-            x, y = a[x], right[y]
-            far = np.bitwise_count(sk[x] ^ sk[y]).sum(1)
-            near = far <= np.minimum(n[x], n[y]) * (den - num) // num
-            x, y, far = x[near], y[near], far[near]
-            if most is not None and len(x):  # the nearest of each class; of as near ones, any
-                order = np.lexsort((far, cid[x]))
-                back = np.lexsort((far, cid[y]))
-                kept = np.zeros(len(x), bool)
-                for way, end in ((order, x), (back, y)):
-                    who = cid[end][way]
-                    start = np.concatenate(([True], who[1:] != who[:-1]))
-                    at = np.arange(len(way)) - np.maximum.accumulate(np.where(start, np.arange(len(way)), 0))
-                    kept[way[at < most]] = True
-                held |= not kept.all()
-                x, y = x[kept], y[kept]
-            found_a.append(np.minimum(cid[x], cid[y]))
-            found_b.append(np.maximum(cid[x], cid[y]))
-        none = np.empty(0, np.int64)
-        return np.concatenate([none, *found_a]), np.concatenate([none, *found_b]), held
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets reach the similarity num/den."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return den * common >= num * (len(both) - common)
+
+
+def spanning(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of components that links join, one less for each component joined.
+
+    If ``side`` has two values, only pairs across are tested, else all.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    label, cross = comp.copy(), bool((side != side[0]).any())
+    values, count = np.unique(label, return_counts=True)
+    if len(values) < 2:
+        return []
+    odd = np.flatnonzero(label != values[count.argmax()]) if not cross else np.flatnonzero(side == side.max())
+    place = np.full(len(sets), len(sets))  # pairs of two odd rows are tested once
+    place[odd] = np.arange(len(odd))
+    sketch = None
+    if len(sets) > FEW:
+        bits = 512
+        while bits < 8 * n.max() * (den - num) // num:
+            bits *= 2
+        sketch = parity(sets, bits)
+    out = []
+    for at in odd.tolist():
+        ok = (place > place[at]) & (label != label[at]) & (np.minimum(n, n[at]) * den >= np.maximum(n, n[at]) * num)
+        if cross:
+            ok &= side != side[at]
+        may = np.flatnonzero(ok)
+        if sketch is not None and len(may):  # Hamming distance <= symmetric difference <= what a link allows
+            far = np.bitwise_count(sketch[may] ^ sketch[at]).sum(1, dtype=np.int64)
+            near = far * (num + den) <= (n[may] + n[at]) * (den - num)
+            may = may[near][far[near].argsort(kind="stable")]
+        for other in may.tolist():
+            if label[other] != label[at] and linked(sets[at], sets[other], num, den):
+                out.append((int(comp[at]), int(comp[other])))
+                label[label == label[other]] = label[at]
+    return out
+
+
+def _gathered(num: int, den: int):
+    """Of rows (least, gi, gj, side, comp, items) sorted by the first three: pairs (a, b) of components that links join."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        out: list[tuple[np.ndarray, np.ndarray, bool]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-            held = any(o[2] for o in out)
-            if len(a):
-                pairs = np.unique(np.stack([a, b], 1), axis=0)
-                a, b = pairs[:, 0], pairs[:, 1]
-            if held:  # a row without a pair
-                a, b = np.append(a, -1), np.append(b, -1)
-            out.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        def groups(cols: list[np.ndarray], final: bool) -> list[np.ndarray] | None:
-            key, i, j, block, cid, comp, n, sk = cols
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edges = [0, *edge.tolist(), *([len(key)] if final else [])]
-            for lo, hi in zip(edges, edges[1:]):
-                if hi - lo > 1:
-                    out.append(group(block[lo:hi], i[lo], j[lo], cid[lo:hi], comp[lo:hi], n[lo:hi], sk[lo:hi]))
-            return None if final else [c[edges[-1] :] for c in cols]
+        last: tuple | None = None
+        sets: list[np.ndarray] = []
+        comp: list[int] = []
+        side: list[int] = []
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(sets) > 1:
+                found.extend(spanning(sets, np.array(comp), np.array(side), num, den))
+            sets.clear(), comp.clear(), side.clear()
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(c).to_numpy() for c in range(7)]
-            cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64))
-            rest = groups(cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)], False)
-            if sum(len(o[0]) for o in out) > 100_000 or len(out) > 20_000:
-                yield from flush()
-        if rest is not None:
-            groups(rest, True)
-        if out:
-            yield from flush()
+            for *key, s, c, x in zip(*(b.column(k).to_pylist() for k in range(5)), b.column(5), strict=True):
+                if key != last:
+                    close()
+                    last = key
+                sets.append(np.frombuffer(x.as_py(), np.uint64))
+                comp.append(c)
+                side.append(s)
+            if found:
+                a, c = zip(*found, strict=True)
+                found = []
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+        close()
+        if found:
+            a, c = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
     return run
 
 
+def gather(shared: DataFrame, root: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
+    """least, gi, gj, side, comp, cid: the classes of keys that lie in different components, dealt out in blocks."""
+    comp = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"{c}_comp"))
+    rows = shared.join(comp("cid"), "cid", "left").withColumn("comp", F.coalesce("cid_comp", "cid")).select("key", "cid", "least", "comp")
+    # A key has different components if one of its rows differs from that of its least class
+    odd = rows.where("cid <> least").join(comp("least"), "least", "left").where(F.col("comp") != F.coalesce("least_comp", "least")).select("key").distinct()
+    members = work.save(rows.join(odd, "key", "left_semi").select("least", "cid", "comp").distinct().join(classes.select("cid", "n"), "cid"), "members")
+    parts = members.groupBy("least", "comp").agg(F.sum(F.col("n") + ROW_HASHES).alias("w")).groupBy("least").agg(F.max_by("comp", F.struct("w", "comp")).alias("major"), F.max("w").alias("wm"), F.sum("w").alias("all"))
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK_HASHES)).cast("int")
+    parts = parts.where(F.col("all") > BLOCK_HASHES).select("least", "major", blocks(F.col("wm")).alias("mb"), blocks(F.col("all") - F.col("wm")).alias("sb"))
+    large = members.join(parts, "least")
+    block = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    major = large.where("comp = major").withColumn("gi", block("mb")).withColumn("gj", F.explode(F.sequence(F.lit(0), F.col("sb") - 1))).withColumn("side", F.lit(0))
+    others = large.where("comp <> major").withColumn("j", block("sb")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("mb") + F.col("sb") - 1)))
+    pair = F.col("x") - F.col("mb")
+    meets = F.col("x") < F.col("mb")
+    others = others.withColumn("gi", F.when(meets, F.col("x")).otherwise(F.col("mb") + F.least(pair, "j"))).withColumn("gj", F.when(meets, F.col("j")).otherwise(F.greatest(pair, "j")))
+    others = others.withColumn("side", F.when(meets, F.lit(1)).otherwise(F.col("j")))
+    small = members.join(parts, "least", "left_anti").select("least", F.lit(0).alias("gi"), F.lit(0).alias("gj"), F.lit(0).alias("side"), "comp", "cid")
+    cols = ["least", "gi", "gj", "side", "comp", "cid"]
+    return small.unionByName(major.select(*cols)).unionByName(others.select(*cols))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose sets reach num/den, on whole sets of 64-bit hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = []
-            for x, y in zip(t.column(2), t.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(den * common >= num * (len(both) - common))
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(t.column(2), t.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: sets.select(F.col("cid").alias(s), F.col("items").alias(f"items_{s}"))
@@ -308,9 +340,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("data"))
     for seed in range(9):  # classes are told apart by 63 bits; two of one hash are found by a second one
         rows = work.save(sketches(source, words, num, den, seed), f"sketches-{seed}")
-        classes = work.save(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sum").alias("lo"), F.max("sum").alias("hi"), F.max("sketch").alias("sketch")), f"classes-{seed}")
+        classes = work.save(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sum").alias("lo"), F.max("sum").alias("hi")), f"classes-{seed}")
         if classes.where("lo <> hi").isEmpty():
             break
+    else:
+        raise RuntimeError("classes of different sets share a hash under nine seeds")
     classes = classes.drop("lo", "hi")
     keys = rows.where("keys is not null").select(F.explode("keys").alias("key"), "cid")
     shared = work.save(keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "cid").mapInArrow(_shared, "key long, cid long, least long"), "shared")
@@ -328,33 +362,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     links = work.save(verified(hub.select("a", F.col("cid").alias("b")), sets, num, den), "links-0")
     root = connected(links, work, "cc-0")
     release(spark)
-    tried, k, most = None, 0, 1
-    while True:
-        k += 1
-        with_comp = shared.select("key", "cid").join(root.select(F.col("id").alias("cid"), "root"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
-        mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / GROUP_BLOCK).cast("int").alias("blocks"))
-        members = with_comp.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        dealt = members.select("key", "cid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp").join(classes.select("cid", "n", "sketch"), "cid")
-        dealt = dealt.select("key", "i", "j", "block", "cid", "comp", "n", "sketch").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        # A pair that was verified in an earlier round and fails stays failed
-        proposed = dealt.mapInArrow(_proposals(num, den, most), "a long, b long").distinct()
-        pairs = work.save(proposed.join(tried, ["a", "b"], "left_anti") if tried is not None else proposed, f"pairs-{k}")
-        held = not pairs.where("a < 0").isEmpty()
-        fresh = pairs.where("a >= 0")
-        more = work.save(verified(fresh, sets, num, den), f"links-{k}")
-        found = not more.isEmpty()
-        if found:
-            links = work.save(links.unionByName(more), f"all-links-{k}")
-            root = connected(links, work, f"cc-{k}")
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        release(spark)
-        if not held:
-            break
-        if not found:
-            most = None if most > 1 else 16
-    work.drop("shared", "met", "sets", *(f"{t}-{i}" for i in range(k + 1) for t in ("pairs", "links", "all-links")))
-    named = classes.select("cid", "doc_id").join(root.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    dealt = gather(shared, root, classes, work).join(sets.select("cid", "items"), "cid").select("least", "gi", "gj", "side", "comp", "items")
+    dealt = dealt.repartition(partitions(spark), "least", "gi", "gj").sortWithinPartitions("least", "gi", "gj")
+    joined = connected(work.save(dealt.mapInArrow(_gathered(num, den), "a long, b long"), "joined"), work, "cc-1")
+    work.drop("shared", "met", "sets", "links-0", "members", "joined")
+    named = classes.select("cid", "doc_id").join(root.select(F.col("id").alias("cid"), F.col("root").alias("first")), "cid", "left").withColumn("first", F.coalesce("first", "cid"))
+    named = named.join(joined.select(F.col("id").alias("first"), "root"), "first", "left").withColumn("root", F.coalesce("root", "first"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "root").select("cid", "component_id")
     out = rows.select("doc_id", "n", "cid").join(of_class, "cid", "left")

@@ -272,7 +272,7 @@ def test_near_duplicates(spark, k, num):
 
 
 def test_large_groups_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(J, "GROUP_BLOCK", 8)
+    monkeypatch.setattr(J, "BLOCK_HASHES", 3000)  # eight members
     rng = random.Random(8)
     base = [f"x{i}" for i in range(120)]
     texts = []
@@ -286,6 +286,49 @@ def test_large_groups_are_dealt_out(spark, monkeypatch):
     assert [rows[i] for i in range(60)] == groups
 
 
+def near_copies(rng, n, words, edits, mark):
+    """n copies of one text, each with some words replaced: many pairs just link, many just don't."""
+    base = [f"{mark}{rng.randrange(4 * words)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), rng.choice(edits)):
+            copy[at] = f"{mark}new{i}-{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_spanning_links_join_all_that_link():
+    rng = random.Random(4)
+    for n, words, edits in ((2, 60, [1, 2]), (4, 60, [1, 2]), (60, 200, [1, 4, 8]), (200, 200, [6, 7, 8]), (12, 6000, [150, 190, 230])):
+        texts = near_copies(rng, n, words, edits, "x")
+        groups = slow_groups(texts, 4, 85, 100)[1]
+        sets = [J.shingle_set(t.encode(), 4) for t in texts]
+        for side in (np.zeros(n, int), np.arange(n) % 2):
+            links = J.spanning(sets, np.arange(n), side, 85, 100)
+            root = list(range(n))
+
+            def find(i):
+                return i if root[i] == i else find(root[i])
+
+            for a, b in links:
+                assert find(a) != find(b)  # never a link too many, so fewer than members
+                root[max(find(a), find(b))] = min(find(a), find(b))
+            if not side.any():
+                assert [find(i) for i in range(n)] == groups
+        assert J.spanning(sets, np.zeros(n, int), np.zeros(n, int), 85, 100) == []
+
+
+def test_long_texts_and_near_misses(spark):
+    rng = random.Random(12)
+    texts = near_copies(rng, 40, 200, [1, 4, 6, 8], "a") + near_copies(rng, 8, 2000, [40, 60, 80], "b") + near_copies(rng, 6, 20000, [300, 600, 900], "c")
+    texts += [t + " and more" for t in texts[:3]] + [texts[-1]] * 3
+    groups = slow_groups(texts, 4, 85, 100)[1]
+    assert 10 < len(set(groups)) < 50
+    rows = {r.doc_id: r.component_id for r in J.near_duplicates(documents(spark, texts), 4, 85).collect()}
+    assert [rows[i] for i in range(len(texts))] == groups
+
+
 def test_block_keys_always_meet():
     rng = np.random.default_rng(2)
     for n in (6, 7, 12, 40, 200, 900):
