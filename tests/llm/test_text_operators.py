@@ -43,6 +43,27 @@ def test_pieces_equal_whole_texts(name):
         assert coder.encode([t]) == [whole(t)]
 
     check()
+    small = PieceEncoder(default_path(name), limit=40)  # its memory starts anew again and again
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.lists(st.lists(st.tuples(st.sampled_from(["a", "Word", "word", "été", "Été", "straße", "x1", "3.14", "it's", "×", "|", ".", ",", "\x01", "漢字", "😀", "e\u0301"]), st.sampled_from(["", ".", ",", ".,"]), st.sampled_from(" \n")), max_size=9), max_size=6))
+    def check_many(texts):
+        texts = ["".join(w + stop + gap for w, stop, gap in t)[:-1] for t in texts]
+        for c in (coder, small):
+            assert c.encode(texts) == [whole(t) for t in texts]
+
+    check_many()
+    long = " ".join(f"w{i % 977}é{i % 7}." for i in range(200_000))
+    assert coder.encode(["a b", long, "", "b\na"]) == [whole(t) for t in ("a b", long, "", "b\na")]
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    from seqloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "_scramble", lambda x: x & np.uint64(0xF0F0))  # hashes of eight bits
+    coder = PieceEncoder(default_path("byte_bpe_50k.json"))
+    texts = [" ".join(f"{'abcdefgh'[i % 8]}{'xyz'[i % 3] * (i % 5 + 1)}" for i in range(k)) for k in range(1, 60)]
+    assert coder.encode(texts) == [np.array(coder.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
 def best_fit_decreasing(lengths, capacity):
