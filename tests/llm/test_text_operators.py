@@ -437,22 +437,94 @@ def test_anisotropic_codes_beat_plain_ones_on_products():
     assert top(neighbours.learn(x, 2, eta=8.0)) < top(neighbours.learn(x, 2, eta=1.0))
 
 
+def coded(docs, depth=T.DEPTH):
+    return T.windows([b"\0" * (depth - 1) + T.END] * len(docs), docs, [True] * len(docs), depth)[0]
+
+
+def grown(docs, depth=T.DEPTH, **kw):
+    code = coded(docs, depth)
+    parts = [np.unique(code & T._mask(k + 1), return_counts=True) for k in range(depth + 1)]
+    return T.build(np.repeat(np.arange(depth + 1), [len(u) for u, _ in parts]), *(np.concatenate(x) for x in zip(*parts, strict=True)), depth, **kw)
+
+
+def slow_tree(docs, depth, gain, least, kappa=T.KAPPA):
+    """P(byte | context) by dictionaries: count, test, close under suffixes, smooth, score."""
+    seen = [{} for _ in range(depth + 1)]
+    for words in docs:
+        text = b"\0" * (depth - 1) + b"\n" + b"".join(w + b" " for w in words) + b"\n"
+        for i in range(depth, len(text)):
+            for k in range(depth + 1):
+                after = seen[k].setdefault(text[i - k : i], {})
+                after[text[i]] = after.get(text[i], 0) + 1
+    total = sum(seen[0][b""].values())
+    p = {b"": {c: (seen[0][b""].get(c, 0) + 0.5) / (total + 128) for c in range(256)}}
+    kept = {b""}
+    for k in range(1, depth + 1):
+        for ctx, after in seen[k].items():
+            n = sum(after.values())
+            if n < least or ctx[1:] not in p:
+                continue
+            below = p[ctx[1:]]
+            p[ctx] = {c: (m + kappa * below[c]) / (n + kappa) for c, m in after.items()}
+            if sum(m * math.log(m / n / below[c]) for c, m in after.items()) > gain * len(after):
+                kept |= {ctx[j:] for j in range(k)}
+
+    def score(ctx, byte):
+        ctx = next(ctx[j:] for j in range(len(ctx) + 1) if ctx[j:] in kept)
+        out = 0.0
+        while byte not in p[ctx]:
+            n = sum(seen[len(ctx)][ctx].values())
+            out += math.log10(kappa / (n + kappa))
+            ctx = ctx[1:]
+        return out + math.log10(p[ctx][byte])
+
+    return kept, score
+
+
+def test_suffix_tree_equals_brute_force():
+    rng = random.Random(6)
+    docs = [["".join(rng.choices("abc", k=rng.randint(1, 5))).encode() for _ in range(rng.randint(0, 12))] for _ in range(40)]
+    for depth, gain, least in ((1, 0.1, 1), (3, 0.5, 2), (6, 2.0, 4), (6, 0.2, 3)):
+        kept, score = slow_tree(docs, depth, gain, least)
+        tree = grown(docs, depth, gain=gain, least=least)
+        assert {int.from_bytes(c, "big") | len(c) << 56 for c in kept if c} == set(tree.states.tolist())
+        ctx = ["".join(rng.choices("abcd \n\0", k=depth)).encode() for _ in range(300)]
+        byte = [ord(rng.choice("abcd \n")) for _ in ctx]
+        found = tree.score(np.array([int.from_bytes(x, "big") << 8 | c for x, c in zip(ctx, byte)], np.uint64))
+        assert np.allclose(found[0], [score(x, c) for x, c in zip(ctx, byte)]) and (found[1] == -1).all()
+
+
 def test_suffix_tree_is_a_distribution():
     docs = [T.words_of(t.encode()) for t in ["the cat sat", "the cat ran", "a cat", "the dog sat on the cat"] * 5]
-    code, _ = T.windows(docs, 3)
-    order, codes, n = [], [], []
-    for k in range(4):
-        u, m = np.unique(code & T._mask(k + 1), return_counts=True)
-        order.append(np.full(len(u), k))
-        codes.append(u)
-        n.append(m)
-    tree = T.build(np.concatenate(order), np.concatenate(codes), np.concatenate(n), 3, gain=0.5, least=2)
+    tree = grown(docs, 3, gain=0.5, least=2)
     assert len(tree.states)
     for before in (b"\0\0\n", b"the", b"ca", b"xyz", b" ca", b"at "):
         ctx = int.from_bytes(before[-3:].rjust(3, b"\0"), "big")
-        total = (10.0 ** tree.score(np.array([ctx << 8 | b for b in range(256)], np.uint64))).sum()
-        assert total <= 1 + 1e-9
-    assert T.windows([[]], 3)[0].size == 1
+        total = (10.0 ** tree.score(np.array([ctx << 8 | b for b in range(256)], np.uint64))[0]).sum()
+        assert total == pytest.approx(1)
+    assert coded([[]], 3).size == 1
+
+
+def test_texts_in_chunks(monkeypatch):
+    texts = [b"One  two\tthree", b"", None, b"x" * 500, b" a b" * 200, b"end "]
+    whole = coded([T.words_of(t) for t in texts])
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(T, "CHUNK", size)
+        found = [T.windows(before, words, last) for _, before, words, last in T.chunks(texts)]
+        docs = [d for doc, *_ in T.chunks(texts) for d in doc]
+        assert np.concatenate([c for c, _ in found]).tolist() == whole.tolist() and sorted(set(docs)) == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("most", [0, 40, 900])
+def test_states_that_are_not_broadcast_are_joined(spark, monkeypatch, most):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 6))) for _ in range(40)) for _ in range(60)] + [None, "", "zzz unseen"]
+    docs = documents(spark, texts + texts[:2])
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    want = sorted((r.doc_id, r.score) for r in T.score_documents(docs, fold != 1).collect())
+    monkeypatch.setattr(T, "MAX_ENTRIES", most)
+    found = sorted((r.doc_id, r.score) for r in T.score_documents(docs, fold != 1).collect())
+    assert [i for i, _ in found] == [i for i, _ in want] and np.allclose([x for _, x in found], [x for _, x in want])
 
 
 def test_suffix_tree_scores(spark):
@@ -496,13 +568,19 @@ def test_suffix_tree_uses_contexts(spark):
     assert total.s > 0.6 * total.b
 
 
+def counted(spark, texts, name):
+    work = Workspace(spark, name)
+    codes = T.count(documents(spark, texts).select(F.encode("text", "UTF-8").alias("data"), F.lit(True).alias("training")), work)[1]
+    root, entries = T.levels(codes, work)
+    return T.frequent(entries, root)[0]
+
+
 def test_suffix_tree_grows_with_the_corpus(spark):
     """A context that a part of the corpus keeps isn't dropped because the rest doesn't have it."""
     rng = random.Random(4)
     rest = [" ".join(rng.choice(["lorem", "ipsum", "dolor"]) for _ in range(4000)) for _ in range(300)]
     part = ["qzxj" * 2] * 3
-    codes = lambda texts, name: T.count(documents(spark, texts).select(F.encode("text", "UTF-8").alias("data")), Workspace(spark, name))[1]
-    small, large = (set(T.grow(codes(x, "grow"), Workspace(spark, "grow")).states.tolist()) for x in (part, part + rest))
+    small, large = (set(counted(spark, x, "grow").states.tolist()) for x in (part, part + rest))
     new = ord("z") | 1 << 56
     assert new in small and new in large
 
@@ -510,22 +588,19 @@ def test_suffix_tree_grows_with_the_corpus(spark):
 def test_suffix_tree_levels_are_those_of_build(spark):
     rng = random.Random(5)
     texts = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 6))) for _ in range(40)) for _ in range(60)]
-    work = Workspace(spark, "levels")
-    tree = T.grow(T.count(documents(spark, texts).select(F.encode("text", "UTF-8").alias("data")), work)[1], work)
-    code, _ = T.windows([T.words_of(t.encode()) for t in texts])
-    parts = [np.unique(code & T._mask(k + 1), return_counts=True) for k in range(T.DEPTH + 1)]
-    whole = T.build(np.repeat(np.arange(T.DEPTH + 1), [len(u) for u, _ in parts]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
-    assert tree.states.tolist() == whole.states.tolist() and tree.entries.tolist() == whole.entries.tolist()
-    assert np.allclose(tree.logp, whole.logp) and np.allclose(tree.escape, whole.escape)
+    tree = counted(spark, texts, "levels")
+    whole = grown([T.words_of(t.encode()) for t in texts])
+    assert tree.states.tolist() == whole.states.tolist() and sorted(tree.entries.tolist()) == sorted(whole.entries.tolist())
+    code = np.random.default_rng(1).integers(0, 1 << 56, 1000, dtype=np.uint64)
+    code = np.concatenate((coded([T.words_of(t.encode()) for t in texts]), code))
+    assert np.allclose(tree.score(code)[0], whole.score(code)[0]) and np.allclose(tree.escape, whole.escape)
 
 
 def test_suffix_tree_keeps_contexts_of_six_bytes():
     """The last byte of a word is told by its first only, six bytes before."""
-    code, _ = T.windows([[b"1bcdef1", b"2bcdef2"]] * 40)
-    parts = [np.unique(code & T._mask(k + 1), return_counts=True) for k in range(T.DEPTH + 1)]
-    tree = T.build(np.repeat(np.arange(T.DEPTH + 1), [len(u) for u, _ in parts]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+    tree = grown([[b"1bcdef1", b"2bcdef2"]] * 40)
     right = int.from_bytes(b"1bcdef1", "big") & int(T._mask(T.DEPTH + 1))
-    assert tree.score(np.array([right], np.uint64))[0] > -0.1
+    assert tree.score(np.array([right], np.uint64))[0][0] > -0.1
 
 
 def test_quotations(spark):
