@@ -293,10 +293,9 @@ def _gathered(num: int, den: int):
 
 def gather(shared: DataFrame, root: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
     """least, gi, gj, side, comp, cid: the classes of keys that lie in different components, dealt out in blocks."""
-    comp = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"{c}_comp"))
-    rows = shared.join(comp("cid"), "cid", "left").withColumn("comp", F.coalesce("cid_comp", "cid")).select("key", "cid", "least", "comp")
-    # A key has different components if one of its rows differs from that of its least class
-    odd = rows.where("cid <> least").join(comp("least"), "least", "left").where(F.col("comp") != F.coalesce("least_comp", "least")).select("key").distinct()
+    comp = root.select(F.col("id").alias("cid"), "root")
+    rows = shared.join(comp, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).select("key", "cid", "least", "comp")
+    odd = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     members = work.save(rows.join(odd, "key", "left_semi").select("least", "cid", "comp").distinct().join(classes.select("cid", "n"), "cid"), "members")
     parts = members.groupBy("least", "comp").agg(F.sum(F.col("n") + ROW_HASHES).alias("w")).groupBy("least").agg(F.max_by("comp", F.struct("w", "comp")).alias("major"), F.max("w").alias("wm"), F.sum("w").alias("all"))
     blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK_HASHES)).cast("int")
