@@ -4,7 +4,7 @@ Both supported pre-tokenizers never build a token over a border from a non-space
 character. A text is therefore cut at those borders, each distinct piece is encoded by the library
 once, and the ids are joined. Tokenizers of other kinds encode whole texts.
 
-Texts whose spaces are lone blanks and line breaks go through numpy, a megabyte at a time: all pieces are
+Texts whose spaces are lone blanks and line breaks go through numpy, half a megabyte at a time: all pieces are
 hashed from prefix sums, looked up in a table of the pieces met before, compared byte by byte with what
 the table holds, and their ids gathered. Other texts are cut by expressions, with a dictionary of pieces.
 """
@@ -66,9 +66,9 @@ class PieceTable:
     def __init__(self):
         self.bits = 16
         self.slot = np.full(1 << self.bits, -1, np.int32)
-        self.hashes, self.text_at, self.ids_at = _Pool("u8"), _Pool("i8"), _Pool("i8")
+        self.hashes, self.text_at, self.ids_at = _Pool("u8"), _Pool("u4"), _Pool("u4")
         self.text, self.ids = _Pool("u1"), _Pool("u4")
-        self.text_at.add(np.zeros(1, np.int64)), self.ids_at.add(np.zeros(1, np.int64))
+        self.text_at.add(np.zeros(1, np.uint32)), self.ids_at.add(np.zeros(1, np.uint32))
 
     def __len__(self) -> int:
         return self.hashes.n
@@ -107,7 +107,7 @@ class PieceTable:
             left, place = left[wait], (place[wait] + 1) & mask
 
 
-_UP = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full((1 << 20) + (1 << 17), 0x9E3779B97F4A7C15, np.uint64))))
+_UP = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full((1 << 19) + (1 << 17), 0x9E3779B97F4A7C15, np.uint64))))
 _DOWN = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(_UP) - 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))))
 
 
@@ -129,11 +129,11 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    At most ``limit`` pieces are remembered in the table (some 60 bytes each), a quarter as many in the
+    At most ``limit`` pieces are remembered in the table (some 50 bytes each), a quarter as many in the
     dictionary; the memory then starts anew, which changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -239,7 +239,7 @@ class PieceEncoder:
                 self.known[names[piece]] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _fast(self, texts: list[str]) -> list[bytes]:
-        """Texts of a megabyte in all, whose spaces are blanks and line breaks; in mode lead not empty, and each space alone and inside."""
+        """Texts of half a megabyte in all, whose spaces are blanks and line breaks; in mode lead not empty, and each space alone and inside."""
         lead, table = self.mode == "lead", self.table
         if len(table) > self.limit:
             table = self.table = PieceTable()
@@ -287,7 +287,7 @@ class PieceEncoder:
         number[~full] = -1
         # What the table holds must be these very bytes
         known = np.flatnonzero(full)
-        at = table.text_at.data[number[known]]
+        at = table.text_at.data[number[known]].astype(np.int64)
         held = table.text_at.data[number[known] + 1] - at
         same = held == size[known]
         if same.all():
@@ -336,7 +336,7 @@ class PieceEncoder:
         if unknown:
             self._learn_odd(unknown)
         for p in rest:
-            ids += memoryview(self.known[p]).cast("I").tolist()
+            ids += memoryview(self.known.pop(p)).cast("I").tolist()  # the table keeps it
             ends.append(len(ids))
         self.table.add(h, b"".join(pieces), np.cumsum(end - start), np.array(ids, np.uint32), np.array(ends, np.int64))
 
@@ -346,11 +346,11 @@ class PieceEncoder:
         out: list[bytes] = [b""] * len(texts)
         groups: dict[bool, list[int]] = {True: [], False: []}
         sizes = {True: 0, False: 0}
-        for i, text in enumerate(texts):  # groups of a megabyte at most, but for longer texts
+        for i, text in enumerate(texts):  # groups of half a megabyte at most, but for longer texts
             size = len(text) + 1 if text.isascii() else 4 * len(text) + 1
             plain = not any(c in text for c in _OTHER) if self.mode == "drop" else bool(text) and not _wide(text)
-            fast = plain and size < 1 << 20 and "\1" not in text
-            if groups[fast] and size + sizes[fast] > 1 << 20:
+            fast = plain and size < 1 << 19 and "\1" not in text
+            if groups[fast] and size + sizes[fast] > 1 << 19:
                 self._put(out, texts, groups[fast], fast)
                 groups[fast], sizes[fast] = [], 0
             groups[fast].append(i)
