@@ -1,31 +1,37 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
-Documents are range-sorted by length and get their global ranks. Lengths and gaps are whole numbers
-up to the capacity, so that all documents of one length are alike, as are all sequences with one gap.
-A sweep takes one length class, longest first, against the gap classes from the smallest that fits
-upward (the successor), matches a run of document ranks with a run of sequence ids, updates the gaps
-and goes on until the class is placed; what finds no gap opens sequences. Ranks settle which document
-of a class gets which sequence. The sweep's state are classes and runs, whose number depends on the
-capacity and not on the corpus; documents stay on the executors, each of which looks its ranks up in
-the list of runs. The result is exactly that of best-fit decreasing.
+Documents and the gaps of open sequences are tables. In each round both are range-sorted by size
+together, a document before a gap of its size. A sweep over each range matches documents with the gaps that
+follow them, like brackets: each gap takes the greatest document below it that no smaller gap has
+taken, which is what best fit gives if documents come longest first. What a range leaves over, gaps
+without a document and above them documents without a gap, is matched over the ranges by the same
+rule; only the number of both in each range goes to the driver, and ranks within a range settle which
+document gets which gap. Then gaps shrink and the next round begins, until nothing fits. The longest
+documents left open new sequences, as many as the tokens left need at least, and so on. Documents come
+in bands of lengths, long ones first, as in best-fit decreasing.
+
+Short documents enter a round in bundles, so that the rounds don't grow with the number of documents in
+a sequence; bundles that find no gap are dissolved into smaller ones, at last into single documents.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructType
 
 from .common import Workspace, bound_batches, partitions
 from .tokens import default_path, encoder
 
 TOKENIZER = "word_bpe_49k.json"
-#: Runs that a sweep may hand to the executors (24 bytes each).
-MAX_RUNS = 4_000_000
+#: Rows of one range at most; smaller tables are cut finer.
+RANGE_ROWS = 500_000
+_LISTS = "ats array<long>, ns array<long>, rel array<long>"
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,107 +60,214 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (first rank, first sequence, offset) that place counts[length] documents of each length.
+def brackets(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order, documents (true) and gaps: matched pairs, each gap with the last document before it that is free."""
+    height = np.cumsum(np.where(doc, 1, -1))
+    low = np.minimum(np.minimum.accumulate(height), 0) if len(doc) else height
+    free = ~doc & (low < np.concatenate(([0], low[:-1])))  # gaps without a document
+    level = height - low + ~doc
+    at = np.flatnonzero(~free)
+    at = at[np.argsort(level[at], kind="stable")]  # in each level documents and gaps take turns
+    pair = doc[at[:-1]] & ~doc[at[1:]] & (level[at[:-1]] == level[at[1:]])
+    return at[:-1][pair], at[1:][pair]
 
-    Ranks count documents from the longest on. Each run lasts to the next one's first rank.
-    """
-    gaps: dict[int, list[list[int]]] = {}  # gap: runs of sequences [first, number]
-    open_gaps: list[int] = []
-    runs: list[tuple[int, int, int]] = []
-    rank = sequences = 0
-
-    def give(gap: int, first: int, n: int) -> None:
-        if gap <= 0:
-            return
-        if gap not in gaps:
-            gaps[gap] = []
-            bisect.insort(open_gaps, gap)
-        last = gaps[gap]
-        if last and last[-1][0] + last[-1][1] == first:
-            last[-1][1] += n
+
+def across(docs: list[int], gaps: list[int]) -> list[tuple[int, bool, int, int, int, int]]:
+    """The brackets between ranges, from the documents and gaps that each has left: runs (range, whether of documents, first and end index, number of the first match, step)."""
+    runs, stack, number = [], [], 0
+    for p, (d, g) in enumerate(zip(docs, gaps, strict=True)):
+        lo = 0
+        while lo < g and stack:
+            q, left = stack.pop()
+            n = min(left, g - lo)
+            runs.append((q, True, left - n, left, number + n - 1, -1))
+            runs.append((p, False, lo, lo + n, number, 1))
+            lo, number = lo + n, number + n
+            if left > n:
+                stack.append((q, left - n))
+        if d:
+            stack.append((p, d))
+    return runs
+
+
+def bundled(docs: DataFrame, most: int) -> DataFrame:
+    """Of rows (at, n): bundles (id, size, ats, ns, rel) of about ``most`` tokens of documents of half that at most, all others alone."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.argsort(n, kind="stable")
+            at, n = at[order], n[order]
+            small = int(np.searchsorted(n, most // 2, side="right"))
+            group = np.concatenate((np.cumsum(n[:small]) // max(1, most), np.arange(len(n) - small) + (1 << 62)))
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(n) else np.empty(0, np.int64)
+            ends = np.append(first, len(n)).astype(np.int32)
+            size = np.add.reduceat(n, first) if len(n) else n
+            rel = np.cumsum(n) - n
+            rel -= np.repeat(rel[first], np.diff(ends))
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (at, n, rel)]
+            yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(size), *lists], ["id", "size", "ats", "ns", "rel"])
+
+    return docs.select("at", "n").mapInArrow(run, f"id long, size long, {_LISTS}")
+
+
+def _sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (size, gap, id, ats, ns, rel) of one range, sorted: state 0 a match, 1 a gap left, 2 a document left; idx counts what is left."""
+    batches = list(batches)
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    size, ids = t.column("size").to_numpy(), t.column("id").to_numpy()
+    doc = ~t.column("gap").to_numpy().astype(bool)
+    d, g = brackets(doc)
+    free = np.ones(len(doc), bool)
+    free[d] = free[g] = False
+    gaps, docs = np.flatnonzero(free & ~doc), np.flatnonzero(free & doc)
+    part = TaskContext.get().partitionId()
+    for state, room, rows in ((0, size[g], d), (1, size[gaps], gaps), (2, size[docs], docs)):
+        for lo in range(0, len(rows), 20_000):
+            at = rows[lo : lo + 20_000]
+            one = lambda x, kind: pa.array(np.full(len(at), x), kind)  # noqa: B023, E731
+            seq = ids[g[lo : lo + 20_000]] if state == 0 else ids[at]
+            lists = [t.column(c).take(pa.array(at)).combine_chunks() for c in ("ats", "ns", "rel")]
+            yield pa.RecordBatch.from_arrays([one(state, pa.int32()), one(part, pa.int32()), pa.array(np.arange(lo, lo + len(at))), pa.array(seq), pa.array(room[lo : lo + 20_000]), pa.array(size[at]), *lists], ["state", "part", "idx", "id", "room", "size", "ats", "ns", "rel"])
+
+
+def _placed(rows: DataFrame, capacity: int) -> DataFrame:
+    """Matches (id, room, size) as sequence_id, start, what is left, and the documents' lists."""
+    return rows.select(F.col("id").alias("sequence_id"), (F.lit(capacity) - F.col("room")).alias("start"), (F.col("room") - F.col("size")).alias("room"), "ats", "rel")
+
+
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def placements(docs: DataFrame, capacity: int, work: Workspace) -> DataFrame:
+    """at, sequence_id, offset of documents (at, n), where at is a key and n is 1 to ``capacity``."""
+    spark = docs.sparkSession
+    full = docs.where(F.col("n") == capacity).select("at", F.col("at").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    gaps: DataFrame | None = None
+    placed: list[DataFrame] = [full]
+    n_gaps = k = 0
+    high = capacity - 1
+    while high:
+        low = (high + 1) // 4 if high > capacity // 64 else 0
+        band = docs.where(F.col("n").between(low + 1, high))
+        gaps, n_gaps, k = _place_band(band, low, gaps, n_gaps, placed, capacity, work, k)
+        high = low
+    out = placed[0]
+    for h in placed[1:]:
+        members = h.select("sequence_id", "start", F.explode(F.arrays_zip("ats", "rel")).alias("x"))
+        out = out.unionByName(members.select(F.col("x.ats").alias("at"), "sequence_id", (F.col("start") + F.col("x.rel")).alias("offset")))
+    return out
+
+
+def _place_band(docs: DataFrame, low: int, gaps: DataFrame | None, n_gaps: int, placed: list[DataFrame], capacity: int, work: Workspace, k: int) -> tuple[DataFrame | None, int, int]:
+    """Rounds until all documents of a band of lengths over ``low`` have their places, which are added to ``placed``; the gaps, their number, and the number of rounds so far."""
+    spark = docs.sparkSession
+    widest = capacity // 2 if low < capacity // 4 else 1
+    bundle = widest
+    left = work.save(bundled(docs, bundle), f"band-{low}")
+    rows = left.count()
+    idle: list[DataFrame] = []  # gaps too small for this band
+    least, opening, first = low + 1, gaps is None, True
+    keys = ["size", "gap", "id"]
+    while rows:
+        k += 1
+        both = left.select("size", F.lit(False).alias("gap"), "id", "ats", "ns", "rel")
+        if not opening:
+            none = [F.lit(None).cast("array<long>").alias(c) for c in ("ats", "ns", "rel")]
+            idle.append(gaps.where(F.col("room").between(1, least - 1)))
+            both = both.unionByName(gaps.where(F.col("room") >= least).select(F.col("room").alias("size"), F.lit(True).alias("gap"), F.col("sequence_id").alias("id"), *none))
+        ranges = max(min(partitions(spark), -(-(rows + n_gaps) // (RANGE_ROWS // 25))), -(-(rows + n_gaps) // RANGE_ROWS))
+        swept = both.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).mapInArrow(_sweep, f"state int, part int, idx long, id long, room long, size long, {_LISTS}")
+        swept = work.save(swept, f"swept-{k}")
+        found = swept.groupBy("part", "state").agg(F.count(F.lit(1)).alias("m"), F.min(F.array_min("ns")).alias("least"), F.sum("size").alias("sum"), F.sum(1 / F.floor(capacity / F.col("size"))).alias("shares"), F.max(F.when(F.col("state") == 0, F.col("room") - F.col("size")).otherwise(F.col("room"))).alias("room")).collect()  # three rows a range
+        counts = [[0, 0, 0] for _ in range(max(r.part for r in found) + 1)]
+        for r in found:
+            counts[r.part][r.state] = r.m
+        rest = swept.where("state = 2")
+        least = min((r.least for r in found if r.state == 2), default=capacity)
+        before = bundle
+        if opening:  # the longest, as many as the tokens need at least; later as many as documents of like lengths need
+            needed = max(1, sum(r["sum"] for r in found) // capacity if first else round(sum(r.shares for r in found)))
+            first = False
+            above, table = 0, []
+            for p in range(len(counts) - 1, -1, -1):
+                above += counts[p][2]
+                table.append((p, above - 1))
+            ranked = rest.join(_small(spark, table, "part int, top long"), "part").withColumn("rank", F.col("top") - F.col("idx"))
+            now = [_placed(ranked.where(F.col("rank") < needed).withColumn("room", F.lit(capacity).cast("long")), capacity)]
+            rest, free = ranked.where(F.col("rank") >= needed), gaps
+            opened = min(needed, rows)
+            rows, n_gaps, opening, bundle = rows - opened, n_gaps + opened, False, widest
         else:
-            last.append([first, n])
-
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        if not 0 < length <= capacity:
-            raise ValueError(f"a length of {length} doesn't fit a capacity of {capacity}")
-        while left:
-            at = bisect.bisect_left(open_gaps, length)
-            if at == len(open_gaps):
-                break
-            gap = open_gaps[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-                open_gaps.pop(at)
-            used = min(n, left)
-            runs.append((rank, first, capacity - gap))
-            rank, left = rank + used, left - used
-            if used < n:
-                give(gap, first + used, n - used)
-            give(gap - length, first, used)
-        each = capacity // length
-        for k, n in ((each, left // each), (left % each, 1)):
-            if k and n:
-                runs += [(rank + j * n, sequences, j * length) for j in range(k)]
-                give(capacity - k * length, sequences, n)
-                rank, sequences = rank + k * n, sequences + n
-        if len(runs) > MAX_RUNS:
-            raise ValueError("this capacity needs more runs than are handed to the executors")
-    return tuple(np.array([r[i] for r in runs], dtype=np.int64) for i in range(3))  # type: ignore[return-value]
-
-
-def best_fit_pack(pieces: DataFrame, capacity: int, work: Workspace, order: tuple[str, ...] = ("doc_id", "piece"), length: str = "length") -> DataFrame:
-    """pieces with sequence_id and offset; lengths are 1 to ``capacity``, else a ValueError is raised.
-
-    Among pieces of one length the columns of ``order`` decide; which of two wholly equal rows comes
-    first is free. An empty table gives an empty table.
+            runs = across([c[2] for c in counts], [c[1] for c in counts])
+            taken: dict[tuple[int, int], int] = {}
+            for p, is_doc, lo, hi, _, _ in runs:
+                taken[p, 2 if is_doc else 1] = taken.get((p, 2 if is_doc else 1), 0) + hi - lo
+            crossed = sum(n for (_, state), n in taken.items() if state == 2)
+            now = [_placed(swept.where("state = 0"), capacity)]
+            spare = swept.where("state = 1")
+            if crossed:
+                r = _small(spark, [(p, 2 if is_doc else 1, *x) for p, is_doc, *x in runs], "run_part int, run_state int, lo long, hi long, first long, step long")
+                of = swept.join(r, (F.col("part") == F.col("run_part")) & (F.col("state") == F.col("run_state")) & (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
+                of = of.withColumn("number", F.col("first") + F.col("step") * (F.col("idx") - F.col("lo")))
+                cross = of.where("state = 2").select("number", "size", "ats", "ns", "rel").join(of.where("state = 1").select("number", "id", "room"), "number")
+                now.append(_placed(work.save(cross.select("id", "room", "size", "ats", "ns", "rel"), f"cross-{k}"), capacity))
+                # Runs take the greatest documents of a range and its smallest gaps
+                ends = _small(spark, [(p, state, n if state == 1 else counts[p][2] - n) for (p, state), n in taken.items()], "part int, state int, end long")
+                alone = swept.where("state > 0").join(ends, ["part", "state"], "left")
+                rest = alone.where("state = 2 and (end is null or idx < end)")
+                spare = alone.where("state = 1 and (end is null or idx >= end)")
+            hits = sum(c[0] for c in counts) + crossed
+            free = spare.select(F.col("id").alias("sequence_id"), "room")
+            rows, n_gaps = sum(c[2] for c in counts) - crossed, sum(c[0] + c[1] for c in counts)
+            if max((r.room for r in found if r.state < 2), default=0) < least:
+                opening = True
+            elif hits * 4 < rows:
+                if bundle > 1:
+                    bundle = bundle // 4 if bundle // 8 > low else bundle // 2 if bundle // 4 > low else 1
+                elif widest > 1 and 0 < hits and rows <= hits * 64:  # few gaps for many documents
+                    bundle = widest
+                else:
+                    opening = True
+        placed += now
+        for h in now:
+            h = h.select("sequence_id", "room")
+            free = h if free is None else free.unionByName(h)
+        gaps = free
+        left = rest.select("id", "size", "ats", "ns", "rel")
+        if bundle != before and rows:
+            single = left.select(F.explode(F.arrays_zip("ats", "ns")).alias("x")).select(F.col("x.ats").alias("at"), F.col("x.ns").alias("n"))
+            left = work.save(bundled(single, bundle), f"bundles-{k}")
+            rows = left.count()
+    if gaps is not None:
+        for h in idle:
+            gaps = gaps.unionByName(h)
+        gaps = work.save(gaps.where("room > 0"), f"gaps-{low}")
+        n_gaps = gaps.count()
+    return gaps, n_gaps, k
+
+
+def best_fit_pack(pieces: DataFrame, capacity: int, work: Workspace, length: str = "length") -> DataFrame:
+    """pieces with sequence_id and offset; lengths are 1 to ``capacity``, else (null, too) a ValueError is raised.
+
+    Repeated rows are rows of their own; which of two pieces of one length comes first is free. Columns
+    sequence_id and offset of ``pieces`` are replaced. An empty table gives an empty table.
     """
-    spark = pieces.sparkSession
-    keys = [F.col(length).desc(), *(F.col(c).asc_nulls_first() for c in order)]
-    sort = pieces.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
-    ranked = work.save(sort.withColumn("_at", F.monotonically_increasing_id()), "ranked")  # partition << 33 | row
-    part = F.shiftright("_at", 33)
-    sizes = {r[0]: r[1] for r in ranked.groupBy(part).count().collect()}  # a row for each partition
-    classes = {int(r[0]): r[1] for r in ranked.groupBy(length).count().collect()}  # a row for each length
-    starts, total = {}, 0
-    for p in sorted(sizes):
-        starts[p] = total
-        total += sizes[p]
-    shared = spark.sparkContext.broadcast((starts, *sweep(classes, capacity)))
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, first_rank, first_seq, offset = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            at = b.column(b.schema.get_field_index("_at")).to_numpy(zero_copy_only=False)
-            p = at >> 33
-            ends = np.flatnonzero(np.diff(p, append=-1)) + 1
-            rank = at & ((1 << 33) - 1)
-            lo = 0
-            for hi in ends:
-                rank[lo:hi] += base[int(p[lo])]
-                lo = hi
-            run = np.searchsorted(first_rank, rank, side="right") - 1
-            kept = [i for i, f in enumerate(b.schema) if f.name != "_at"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(first_seq[run] + rank - first_rank[run]), pa.array(offset[run])], [*(b.schema.field(i).name for i in kept), "sequence_id", "offset"])
-
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType(list(pieces.schema.fields)).add("sequence_id", LongType()).add("offset", LongType())
-    return ranked.mapInArrow(place, schema)
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    keyed = work.save(pieces.select(*kept, F.monotonically_increasing_id().alias("_at")), "keyed")
+    if not keyed.where(F.coalesce(~F.col(length).between(1, capacity), F.lit(True))).isEmpty():
+        raise ValueError(f"a length doesn't fit a capacity of {capacity}")
+    found = placements(keyed.select(F.col("_at").alias("at"), F.col(length).cast("long").alias("n")), capacity, work)
+    return keyed.join(found.withColumnRenamed("at", "_at"), "_at").select(*kept, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:
     """Tokenizes, cuts and packs documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     work = Workspace(docs.sparkSession, "packing")
-    pieces = work.save(cut_documents(docs, path or default_path(TOKENIZER), capacity, end_id), "pieces")
-    packed = best_fit_pack(pieces, capacity, work)
-    work.drop("pieces")
-    return packed
+    return best_fit_pack(cut_documents(docs, path or default_path(TOKENIZER), capacity, end_id), capacity, work)
 
 
 def op1_pack(spark, sf_dir: str) -> DataFrame:
