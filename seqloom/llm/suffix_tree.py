@@ -377,15 +377,17 @@ def frequent(entries: DataFrame, root: np.ndarray, depth: int = DEPTH, kappa: fl
         least = (1 << 62) if least is None else least
         hot = entries.where(F.col("whole") >= least)
         more = entries.where(F.col("whole") < least).select((F.col("k") - 1).alias("k"), F.col("ctx").bitwiseAND(_low(F.col("k") - 1)).alias("ctx")).distinct()
-        more = hot.select("k", "ctx").distinct().join(more, ["k", "ctx"], "left_semi").toArrow()
-    t = hot.toArrow()
-    order, ctx, code, p, whole = (t.column(c).to_numpy().astype(kind) for c, kind in (("k", np.uint64), ("ctx", np.uint64), ("code", np.uint64), ("p", float), ("whole", float)))
-    states, at = np.unique(ctx | order << np.uint64(56), return_index=True)
+        more = hot.select("k", "ctx").distinct().join(more, ["k", "ctx"], "left_semi")
+    key = lambda k, code: F.col(code).bitwiseOR(F.element_at(F.array(*(F.lit(i << 56) for i in range(depth + 1))), F.col(k) + 1)).alias("key")
+    states = hot.groupBy("k", "ctx").agg(F.max("whole").alias("whole")).select(key("k", "ctx"), "whole").toArrow()
+    order = np.argsort(states.column("key").to_numpy())
+    whole, states = states.column("whole").to_numpy()[order], states.column("key").to_numpy()[order].astype(np.uint64)
     longer = np.zeros(len(states), bool)
     if more is not None:
-        longer = np.isin(states, more.column("ctx").to_numpy().astype(np.uint64) | more.column("k").to_numpy().astype(np.uint64) << np.uint64(56))
+        longer = np.isin(states, more.select(key("k", "ctx")).toArrow().column("key").to_numpy().astype(np.uint64))
+    t = hot.select(key("k", "code"), F.log10("p").alias("logp")).toArrow()
     root_more = least is not None and not entries.where((F.col("k") == 1) & (F.col("whole") < least)).isEmpty()
-    return Tree(depth, root, states, np.log10(kappa / (whole[at] + kappa)), longer, code | order << np.uint64(56), np.log10(p), root_more), least
+    return Tree(depth, root, states, np.log10(kappa / (whole + kappa)), longer, t.column("key").to_numpy().astype(np.uint64), t.column("logp").to_numpy(), root_more), least
 
 
 def rare_scores(open_: DataFrame, entries: DataFrame, least: int, depth: int = DEPTH, kappa: float = KAPPA) -> DataFrame:
