@@ -65,7 +65,8 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None =
     """Writes shards in ascending doc_id order and returns their list: name, docs, ids, first id's place.
 
     A null text counts as empty; null doc_ids come first; rows with one doc_id stand together in any
-    order. An empty table gives an empty list. The shard list is as long as there are partitions.
+    order, repeated ones too. A text of any length is one record. Other columns have no effect. An
+    empty table gives an empty list. The shard list is as long as there are partitions.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -98,8 +99,10 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None =
         if docs_n:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "docs": pa.array([docs_n], pa.int64()), "ids": pa.array([ids_n], pa.int64())})
 
-    key = F.col("doc_id").asc_nulls_first()
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(partitions(spark), key).sortWithinPartitions(key)
+    # Rows of one doc_id, or none, are told apart by a number, so that ranges can split them
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("row").asc()]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(partitions(spark, docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     shards, start = [], 0
     for r in sorted(rows.mapInArrow(write, "part int, name string, docs long, ids long").collect(), key=lambda r: r.part):  # a row for each partition
         shards.append({"name": r.name, "docs": r.docs, "ids": r.ids, "start": start})

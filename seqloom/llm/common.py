@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="seqloom-")
+        atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -75,5 +78,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of a stored table for each partition of a shuffle.
+PARTITION_BYTES = 256 << 20
+
+
+def partitions(spark: SparkSession, table: DataFrame | None = None) -> int:
+    """spark.sql.shuffle.partitions, or as many as the bytes of a stored table need if these are more."""
+    out = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if table is None or not table.inputFiles():
+        return out
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(out, -(-size // PARTITION_BYTES)) if size < 1 << 60 else out  # more: not known

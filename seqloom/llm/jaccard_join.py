@@ -346,7 +346,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         raise RuntimeError("classes of different sets share a hash under nine seeds")
     classes = classes.drop("lo", "hi")
     keys = rows.where("keys is not null").select(F.explode("keys").alias("key"), "cid")
-    shared = work.save(keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "cid").mapInArrow(_shared, "key long, cid long, least long"), "shared")
+    shared = work.save(keys.repartition(partitions(spark, rows), "key").sortWithinPartitions("key", "cid").mapInArrow(_shared, "key long, cid long, least long"), "shared")
     rows = work.save(rows.select("doc_id", "n", "cid"), "rows")
     work.drop(f"sketches-{seed}")
     release(spark)

@@ -98,20 +98,25 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Exact area means as float64, from one integral image."""
+    """Exact area means as float64, from an integral image that is kept only at the rows which borders need."""
     h, w, c = image.shape
-    total = np.zeros((h + 1, w + 1, c))
-    total[1:, 1:] = image.astype(np.float64).cumsum(0).cumsum(1)
 
-    def at(axis_total: np.ndarray, n: int, m: int) -> np.ndarray:
-        """The integral along axis 0 at the m + 1 borders of n pixels; between pixels it is linear."""
+    def borders(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The m + 1 borders of n pixels: the pixel that each lies in, and how far."""
         edge = np.arange(m + 1) * (n / m)
         lo = np.minimum(edge.astype(int), n - 1)
-        part = (edge - lo)[:, None, None]
-        return axis_total[lo] * (1 - part) + axis_total[lo + 1] * part
-
-    rows = np.diff(at(total, h, height), axis=0)
-    cells = np.diff(at(rows.transpose(1, 0, 2), w, width), axis=0).transpose(1, 0, 2)
+        return lo, edge - lo
+
+    lo, part = borders(h, height)
+    above = np.zeros((height + 1, w, c))  # sums of all rows above a border's, one band of rows at a time
+    for j in range(1, height + 1):
+        above[j] = above[j - 1] + image[lo[j - 1] : lo[j]].sum(0, dtype=np.int64)
+    rows = np.diff(above + part[:, None, None] * image[lo], axis=0)
+    total = np.zeros((height, w + 1, c))
+    np.cumsum(rows, axis=1, out=total[:, 1:])
+    lo, part = borders(w, width)
+    part = part[None, :, None]
+    cells = np.diff(total[:, lo] * (1 - part) + total[:, lo + 1] * part, axis=1)
     return cells / (h / height * w / width)
 
 
@@ -121,8 +126,8 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def difference_hash(image: np.ndarray) -> str:
-    """64 bits as 16 hex digits: is a pixel of the 9 x 8 tile darker than its right neighbour (after rounding to 1/256)?"""
-    tile = np.round(resize_area(grey(image), 8, 9)[:, :, 0] * 256)
+    """64 bits as 16 hex digits: is a pixel of the 9 x 8 luma tile darker than its right neighbour (after rounding to 1/256)?"""
+    tile = np.round(grey(resize_area(image, 8, 9))[:, :, 0] * 256)
     return np.packbits(tile[:, 1:] > tile[:, :-1]).tobytes().hex()
 
 
@@ -134,7 +139,12 @@ def npy_tile(image: np.ndarray, size: int = TILE) -> bytes:
 
 
 def text_media(docs: DataFrame, form: str = "netpbm", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8 bytes, padded with blanks to rows of 64 RGB pixels, as an image."""
+    """doc_id, n_bytes, media: each text's UTF-8 bytes, padded with blanks to rows of 64 RGB pixels, as an image.
+
+    A null or empty text is one row of blanks with no bytes. A text of any length is one image. Repeated
+    rows and null doc_ids are rows of their own; other columns have no effect. An empty table gives an
+    empty table.
+    """
     to = {"netpbm": encode_netpbm, "bmp": encode_bmp}[form]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +162,11 @@ def text_media(docs: DataFrame, form: str = "netpbm", doc_id: str = "doc_id", te
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads doc_id, n_bytes, media and adds digests of payload and media, the NPY tile and the difference hash."""
+    """Reads doc_id, n_bytes, media and adds digests of payload and media, the NPY tile and the difference hash.
+
+    Equal media give equal features; damaged or null media raise a ValueError. The memory used is a small
+    multiple of the longest image.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,6 +174,8 @@ def media_features(media: DataFrame) -> DataFrame:
                 part = b.slice(lo, 1000)
                 rows = []
                 for stored in part.column(2).to_pylist():
+                    if stored is None:
+                        raise ValueError("a row without media")
                     image = decode(stored)
                     payload = image.tobytes()
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), npy_tile(image), difference_hash(image)))

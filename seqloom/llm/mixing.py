@@ -13,14 +13,15 @@ Sums by pattern and by hash bucket are all that leaves the executors.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, Workspace
 
-#: Most patterns for which the flow is solved on the driver.
-MAX_PATTERNS = 20_000
+#: Plans of up to this many patterns are broadcast, longer ones are joined by a shuffle.
+BROADCAST_PATTERNS = 20_000
 #: The first hex digits of the seeded hash are its bucket: 4096 for each pattern.
 BUCKET_DIGITS = 3
 WEIGHTS = (5, 2, 1)
@@ -57,10 +58,21 @@ class _Arc:
 def min_cost_flow(patterns: list[tuple[frozenset[int], int]], quotas: list[float], repeats: int = REPEATS) -> list[dict[int, float]]:
     """For each pattern (its sources, its words) the words that each of its sources takes.
 
+    A source whose documents have no other source stands alone and gets its quota at once, so that the
+    network holds only what overlaps.
+
     Successive shortest paths with potentials: source -> pattern (one arc for each repetition, cost
     rising by one) -> source quota -> sink. It fills the quotas as far as the patterns reach, at
     the least total repetition.
     """
+    uses = Counter(s for sources, _ in patterns for s in sources)
+    alone = [len(x) == 1 and uses[next(iter(x))] == 1 for x, _ in patterns]
+    if any(alone):
+        rest = iter(min_cost_flow([p for p, a in zip(patterns, alone, strict=True) if not a], quotas, repeats))
+        own = lambda s, words: {s: min(quotas[s], float(repeats * words))} if words and quotas[s] else {}
+        return [own(next(iter(x)), words) if a else next(rest) for (x, words), a in zip(patterns, alone, strict=True)]
+    if not patterns:
+        return []
     n, m = len(patterns), len(quotas)
     start, end = n + m, n + m + 1
     graph: list[list[_Arc]] = [[] for _ in range(n + m + 2)]
@@ -111,18 +123,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     a null or empty array means the null source, which comes last. Sources are sorted by code point
     and weigh as ``weights``, repeating. source_size and target belong to a document's first source. A
     null text has no words and is never taken; sources without words have a target of 0. Rows that are
-    alike in every column that counts are told apart by nothing, so which of them is taken is free.
+    alike in every column that counts are told apart by nothing, so which of them is taken is free. Rows
+    without a doc_id are ordered by their texts. Columns of ``keep`` must have other names than the
+    result's. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
     names = F.array_sort(F.array_distinct(F.coalesce(sources if sources is not None else F.array(F.col("source")), F.array(F.lit(None).cast("string")))))
     names = F.when(F.size(names) == 0, F.array(F.lit(None).cast("string"))).otherwise(names)
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    own = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null "), F.xxhash64(F.col(text)).cast("string")))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), own))
     rows = work.save(docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("size"), names.alias("_names"), order.alias("_order"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("_tie"), *(F.col(c).alias(f"_keep_{c}") for c in keep)), "sizes")
     bucket = F.substring("_order", 1, BUCKET_DIGITS)
-    sums = rows.groupBy("_names").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
+    sums = rows.groupBy("_names").agg(F.sum("size").alias("size")).collect()  # a row for each pattern
     found = sorted({x for r in sums for x in r._names}, key=lambda x: (x is None, (x or "").encode()))
     number = {x: i for i, x in enumerate(found)}
     sums.sort(key=lambda r: [number[x] for x in r._names])
@@ -140,13 +153,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
         plan.append((list(r._names), whole, float(words - whole * r["size"]), sizes[first], float(goal[first])))
     planned = spark.createDataFrame(plan, "_names array<string>, whole long, rest double, source_size long, target double")
     key = F.to_json(F.struct("_names"))  # nulls in the array join as values
-    planned = F.broadcast(planned.withColumn("_key", key).drop("_names"))  # at most MAX_PATTERNS rows
+    few = (lambda df: F.broadcast(df)) if len(plan) <= BROADCAST_PATTERNS else (lambda df: df)
+    planned = few(planned.withColumn("_key", key).drop("_names"))
     # The bucket in which a pattern's rest runs out: sums of 4096 buckets for each pattern
     by_bucket = rows.groupBy(key.alias("_key"), bucket.alias("_bucket")).agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("_key").orderBy("_bucket")) - F.col("words")
     cut = by_bucket.withColumn("before", before).join(planned, "_key").where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
     cut = cut.groupBy("_key").agg(F.min_by(F.struct("_bucket", "before"), "_bucket").alias("_cut"))
-    rows = rows.withColumn("_key", key).join(planned, "_key").join(F.broadcast(cut), "_key", "left")
+    rows = rows.withColumn("_key", key).join(planned, "_key").join(few(cut), "_key", "left")
     # Only the cut bucket's documents are put in order; a document counts if at least half of it fits
     inside = F.col("_cut._bucket") == bucket
     in_cut = rows.where(inside).withColumn("_sum", F.sum("size").over(Window.partitionBy("_key").orderBy("_order", "size", "_tie", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))

@@ -35,6 +35,12 @@ def parsed(text: Column) -> tuple[Column, Column, Column]:
     return level, content, F.regexp_replace(F.array_join(F.transform(own, lambda x: x["c"]), "\n"), r"^\s+|\s+$", "")
 
 
+def _digits(turn: Column) -> Column:
+    """Twenty digits that sort as 64-bit numbers do."""
+    zero = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.lpad((turn.cast("decimal(20,0)") + zero).cast("decimal(20,0)").cast("string"), 20, "0")
+
+
 def passages(level: Column, content: Column) -> Column:
     """Runs of one level: array of (level, text)."""
     n = F.size(level)
@@ -49,8 +55,10 @@ def link_quotations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "
 
     Every row stays. A null text has an empty body. Rows with a null conv_id or turn neither link nor
     are linked to and come first. Rows of one conv_id and turn are one message with several texts.
-    A message that quotes nothing known begins a thread. An order_key's length grows with the depth
-    of replies.
+    A message that quotes nothing known begins a thread. An order_key has 20 digits for each message on
+    the way from its thread's start, so that its length grows with the depth of replies. Texts of any
+    length and levels of any depth are parsed whole. Other columns have no effect. An empty table
+    gives an empty table.
     """
     spark = messages.sparkSession
     work = Workspace(spark, "quotations")
@@ -93,7 +101,7 @@ def link_quotations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "
     parent = edges.select("conv_id", "turn", F.col("up").alias("reply_to"))
     full = paths.select("conv_id", "turn", F.concat(F.array("up"), "path").alias("path")).join(parent, ["conv_id", "turn"])
     out = rows.join(full, ["conv_id", "turn"], "left").join(per_row, "row", "left").withColumn("path", F.coalesce("path", F.array("turn")))
-    order = F.array_join(F.transform("path", lambda t: F.lpad(t.cast("string"), 12, "0")), "/")
+    order = F.array_join(F.transform("path", lambda t: _digits(t)), "/")
     out = out.select("conv_id", "turn", "role", "body", "reply_to", F.get("path", F.lit(0)).alias("thread_turn"), (F.size("path") - 1).alias("depth"), order.alias("order_key"), F.size("passages").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"))
     return out.orderBy("conv_id", "order_key", "role", "body")
 
@@ -122,6 +130,6 @@ r AS (SELECT conv_id, turn, up, [up, turn] AS path FROM e UNION ALL SELECT r.con
 t AS (SELECT conv_id, turn, arg_max(path, len(path)) AS path FROM r GROUP BY ALL),
 k AS (SELECT row_, CAST(count(*) AS INTEGER) AS n_linked FROM h GROUP BY 1)
 SELECT b.conv_id, b.turn, b.role, b.body, e.up AS reply_to, coalesce(t.path, [b.turn])[1] AS thread_turn, CAST(len(coalesce(t.path, [b.turn])) - 1 AS INTEGER) AS depth,
-       array_to_string(list_transform(coalesce(t.path, [b.turn]), lambda v: lpad(CAST(v AS VARCHAR), 12, '0')), '/') AS order_key, b.n_passages, coalesce(k.n_linked, 0) AS n_linked
+       array_to_string(list_transform(coalesce(t.path, [b.turn]), lambda v: lpad(CAST(CAST(v AS HUGEINT) + 9223372036854775808 AS VARCHAR), 20, '0')), '/') AS order_key, b.n_passages, coalesce(k.n_linked, 0) AS n_linked
 FROM b LEFT JOIN e USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn) LEFT JOIN k USING (row_)
 """

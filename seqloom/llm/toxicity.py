@@ -73,6 +73,22 @@ class Model:
         return score
 
 
+def _sig(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def risk_gradient(f_p: np.ndarray, f_u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of scores of positives and unlabelled rows: both terms of the risk, and what descent follows.
+
+    That is the gradient of their sum while the second term isn't negative, else minus the second term's.
+    """
+    first = prior * np.logaddexp(0, -f_p).mean()
+    second = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
+    sign = 1.0 if second >= 0 else -1.0
+    g_p = prior * ((_sig(f_p) - 1) * (sign > 0) - sign * _sig(f_p)) / len(f_p)
+    return float(first), float(second), g_p, sign * _sig(f_u) / len(f_u)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, l1: float = 1e-3, rounds: int = 250, rate: float = 0.08, least_docs: int = 3) -> Model:
     """nnPU training. Features of fewer than ``least_docs`` positives have no weight.
 
@@ -100,17 +116,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     # words that nearly all documents share say nothing and would slow the descent: scale by rarity
     share = (np.bincount(uc, minlength=len(used)) + 1) / (n_u + 1)
     scale = 1 / np.sqrt(1 + 20 * share)
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
     def descend(w: np.ndarray, b: float, open_: np.ndarray, l1: float) -> tuple[np.ndarray, float]:
         m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
         for t in range(1, rounds + 1):
             f_p = b + np.bincount(pr, (w * scale)[pc], minlength=n_p)
             f_u = b + np.bincount(ur, (w * scale)[uc], minlength=n_u)
-            risk = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
-            sign = 1.0 if risk >= 0 else -1.0
-            g_p = prior * ((sig(f_p) - 1) * (sign > 0) - sign * sig(f_p)) / n_p
-            g_u = sign * sig(f_u) / n_u
+            _, _, g_p, g_u = risk_gradient(f_p, f_u, prior)
             grad = np.append(open_ * scale * (np.bincount(pc, g_p[pr], minlength=len(used)) + np.bincount(uc, g_u[ur], minlength=len(used))), g_p.sum() + g_u.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             pace = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -143,7 +155,10 @@ def _sampled(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """A model from rows of doc_id where ``learn`` holds. The prior defaults to the share of toxic labels there.
 
-    A document with several labels is toxic if one says so; null labels and doc_ids are left out.
+    A document with several labels is toxic if one says so; null labels and doc_ids are left out. The
+    fit sees at most ``max_positive`` confirmed positives and ``max_unlabelled`` rows without regard to
+    labels, the first by a hash of doc_id: at every size the same sample size, whose features are all that
+    leaves the executors.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -156,22 +171,29 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None
     return fit(positive, unlabelled, prior)
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``score`` (0 to 1) for every whole text; null and empty ones have the intercept's. An existing column score is replaced."""
+def score_texts(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
+    """docs with a score (0 to 1) for every whole text; null and empty ones have the intercept's.
+
+    Equal texts have equal scores; repeated rows and null doc_ids are rows of their own. An existing
+    column of the score's name is replaced, all others are kept. An empty table gives an empty table.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != "score"]
+    keep = [c for c in docs.columns if c != score]
     at = keep.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.scorer()
+        rate = shared.value.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([score(t or "") for t in b.column(at).to_pylist()], pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([rate(t or "") for t in b.column(at).to_pylist()], pa.float64())], names)
 
-    from pyspark.sql.types import DoubleType, StructType
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.select(*keep).mapInArrow(run, StructType([docs.schema[c] for c in keep]).add("score", DoubleType()))
+    # Columns go by number to Python and back, as mapInArrow can't take names with dots
+    names = [f"c{i}" for i in range(len(keep) + 1)]
+    schema = StructType([StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep)]).add(names[-1], DoubleType())
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).toDF(*names[:-1]).mapInArrow(run, schema).toDF(*keep, score)
 
 
 def fold(doc_id: Column, n: int) -> Column:

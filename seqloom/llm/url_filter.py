@@ -1,11 +1,11 @@
 """URL rules by host and path: a blocked Bloom filter in front of an exact hash join. All native.
 
 A listed entry is a host with a path, like ``example.net/en/``; it fits its host, all subdomains and
-all paths that start with its path. A url has as many possible entries as it has host suffixes times
-path lengths in use. Each goes to one block of a Bloom filter (a table of 512-bit blocks, one row
-each): one join by block number and a test of eight bits. What passes meets the listed entries in an
-exact join, which removes false positives. The longest entry of a url wins; of two as long the one
-with the longer host, then ``block``. Urls without an entry are allowed.
+all paths that start with its path. A url has as many possible entries as there are numbers of labels and
+path lengths in the list. Distinct possible entries go to one block of a Bloom filter each (a table of
+512-bit blocks, one row each): one join by block number and a test of eight bits. What passes meets the
+listed entries in an exact join, which removes false positives. The longest entry of a url wins; of two
+as long the one with the longer host, then ``block``. Urls without an entry are allowed.
 """
 
 from __future__ import annotations
@@ -35,7 +35,12 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 def listed(spark, rules: list[tuple[str, str]]) -> DataFrame:
     """Entries (host, path, action, rule) of rules like ``("block", "example.com/de/")``, canonical and single; of opposite ones ``block`` stays."""
-    df = spark.createDataFrame([(a, r) for a, r in rules], "action string, rule string")
+    if rules:
+        values = ", ".join(f"(:action{i}, :rule{i})" for i in range(len(rules)))
+        names = {f"{name}{i}": x for i, rule in enumerate(rules) for name, x in zip(("action", "rule"), rule, strict=True)}
+        df = spark.sql(f"SELECT * FROM VALUES {values} AS t(action, rule)", args=names)
+    else:
+        df = spark.sql("SELECT '' AS action, '' AS rule WHERE false")
     host = F.substring_index("rule", "/", 1)
     df = df.select(F.translate(host, UPPER, LOWER).alias("rule_host"), F.expr("substr(rule, instr(rule, '/'))").alias("rule_path"), "action", "rule")
     return df.groupBy("rule_host", "rule_path").agg(F.max_by("action", F.col("action")).alias("action"), F.min("rule").alias("rule"))
@@ -63,30 +68,39 @@ def filter_urls(pages: DataFrame, entries: DataFrame, url: str = "url") -> DataF
     """pages with host, path, rule, verdict. A null url has an empty host and path and is allowed.
 
     ``entries`` has rule_host, rule_path, action, rule, as of :func:`listed`. Every row stays, repeated
-    ones too. An empty list allows all. Existing columns named host, path, rule or verdict are replaced.
+    ones too; hosts may have any number of labels. An empty list allows all, an empty table gives an empty
+    one. Existing columns named host, path, rule or verdict are replaced, all others are kept.
     """
-    size = entries.agg(F.count(F.lit(1)), F.collect_set(F.length("rule_path"))).first()  # path lengths: some hundreds at most
-    n, lengths = size[0], sorted(size[1])
+    n_labels = F.size(F.split("rule_host", r"\."))
+    size = entries.agg(F.count(F.lit(1)), F.collect_set(F.length("rule_path")), F.collect_set(n_labels)).first()  # some hundreds at most
+    n, lengths, depths = size[0], sorted(size[1]), sorted(size[2])
     host, path = host_path(F.col(url))
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), host.alias("host"), path.alias("path"))
+    none = F.lit(None).cast("struct<rule:string,action:string>")
+    told = lambda df: df.select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit("allow")).alias("verdict"))
+    if not n:
+        return told(rows.withColumn("best", none))
     n_blocks = max(1, -(-n // PER_BLOCK))
     small = (lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.filter(F.array(*(F.lit(x) for x in lengths)), lambda x: x <= F.length("path")) if lengths else F.array().cast("array<int>")
+    numbers = lambda xs, most: F.filter(F.array(*(F.lit(x) for x in xs)), lambda x: x <= most)
+    suffixes = F.transform(numbers(depths, F.size(F.split("host", r"\."))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
+    cuts = numbers(lengths, F.length("path"))
     urls = rows.where("host <> ''").select("host", "path").distinct()
     tried = urls.select("host", "path", F.explode(F.flatten(F.transform(suffixes, lambda h: F.transform(cuts, lambda k: F.struct(h.alias("h"), F.substr(F.col("path"), F.lit(1), k).alias("p")))))).alias("e"))
-    tried = tried.select("host", "path", F.col("e.h").alias("rule_host"), F.col("e.p").alias("rule_path"), _key(F.col("e.h"), F.col("e.p")).alias("key")).withColumn("block", F.pmod("key", F.lit(n_blocks)))
-    hits = tried.join(small(bloom(entries, n_blocks), n_blocks), "block")
+    tried = tried.select("host", "path", F.col("e.h").alias("rule_host"), F.col("e.p").alias("rule_path"))
+    probes = tried.select("rule_host", "rule_path").distinct().withColumn("key", _key(F.col("rule_host"), F.col("rule_path"))).withColumn("block", F.pmod("key", F.lit(n_blocks)))
+    hits = probes.join(small(bloom(entries, n_blocks), n_blocks), "block")
     for i in range(BITS):
         bit = _bit(F.col("key"), i)
         word = F.element_at(F.array(*(F.col(f"w{w}") for w in range(8))), (F.shiftright(bit, 6) + 1).cast("int"))
         hits = hits.where(F.getbit(word, (bit % 64).cast("int")) == 1)
-    exact = hits.select("host", "path", "rule_host", "rule_path").join(small(entries, n), ["rule_host", "rule_path"])
+    exact = hits.select("rule_host", "rule_path").join(small(entries, n), ["rule_host", "rule_path"])
     rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("action"))
-    best = exact.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), rank).alias("_best"))
-    return rows.join(best, ["host", "path"], "left").select(*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.action"), F.lit("allow")).alias("verdict"))
+    best = tried.join(small(exact, n), ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), rank).alias("best"))
+    # Rows without a host have no entry; they would all meet in one key
+    named = rows.where("host <> ''").join(best, ["host", "path"], "left").select("row", "host", "path", "best")
+    return told(named.unionByName(rows.where("host = ''").withColumn("best", none)))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -59,6 +59,19 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_columns_with_clashing_names_stay(spark, corpus):
+    root, _ = corpus
+    names = ["score", "size", "source_size", "target", "taken", "copies", "document", "time", "row_key", "first", "component_id", "n_shingles", "sequence_id", "a.b"]
+    docs = spark.read.parquet(f"{root}/documents.parquet").limit(60)
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, root)
+        first = docs.first()
+        assert docs.columns[-len(names) :] == names and [first[n] for n in names] == names
+    assert P.packing(spark, docs, root).count() > 0
+
+
 def test_stage_names():
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "mixing", "packing"] and P.ORACLE_SQL is None
 

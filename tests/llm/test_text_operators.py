@@ -206,8 +206,9 @@ def test_urls(spark):
     rules = [*U.RULES, ("block", "a.org/fr/x"), ("allow", "b.a.org/fr")]
     hosts = ["Example.NET", "www.example.com", "net", "a.org", "b.a.org", "x.b.a.org", "notnet", "", "example.net:80"]
     paths = ["", "/", "/en/1", "/en", "/de/#t", "/fr/?q=/x", "/fr/xyz", "/FR/", "?a://b"]
-    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme/x", "x://net/a", "http://net/a", "http://net/a"]
-    pages = spark.createDataFrame([(i if i % 9 else None, u, 0) for i, u in enumerate(urls)], "page_id long, url string, host int")
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme/x", "x://net/a", "http://net/a", "http://net/a", "http://" + "a." * 6000 + "org/fr/xy"]
+    pages = spark.createDataFrame([(i if i % 9 else None, u, 0, 1, 2, 3, 4) for i, u in enumerate(urls)], "page_id long, url string, host int, rule_host int, best int, row int, `a.b` int")
+    assert U.filter_urls(pages, U.listed(spark, rules)).columns == ["page_id", "url", "rule_host", "best", "row", "a.b", "host", "path", "rule", "verdict"]
     got = sorted(((r.url, r.host, r.path, r.rule, r.verdict) for r in U.filter_urls(pages, U.listed(spark, rules)).collect()), key=str)
     assert got == sorted(((u, *slow_rule(u, rules)) for u in urls), key=str)
     none = U.filter_urls(pages, U.listed(spark, rules).limit(0))
@@ -238,8 +239,18 @@ def test_area_resize():
     assert np.load(__import__("io").BytesIO(media.npy_tile(image))).shape == (16, 16, 3)
 
 
+def test_difference_hash_equals_plain_means():
+    rng = np.random.default_rng(3)
+    for h, w in ((1, 64), (5, 64), (8, 9), (30, 64), (41, 7)):
+        image = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        luma = (image @ np.array([0.299, 0.587, 0.114])).repeat(8, 0).repeat(9, 1)  # 8 x 9 cells of h x w fine pixels each
+        tile = np.round(luma.reshape(8, h, 9, w).mean((1, 3)) * 256)
+        bits = "".join("1" if tile[y, x + 1] > tile[y, x] else "0" for y in range(8) for x in range(8))
+        assert media.difference_hash(image) == f"{int(bits, 2):016x}"
+
+
 def test_text_media(spark):
-    texts = [*ODD, None, "ä" * 5000, "x" * 192, "x" * 193]
+    texts = [*ODD, None, "same", "same", "ä" * 5000, "x" * 192, "x" * 193]
     docs = documents(spark, texts).withColumn("media", F.lit(1))
     for form in ("netpbm", "bmp"):
         rows = {r.doc_id: r for r in media.media_features(media.text_media(docs, form)).collect()}
@@ -248,7 +259,8 @@ def test_text_media(spark):
             full = raw + b" " * ((-len(raw)) % 192 if raw else 192)
             r = rows[i]
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
-        assert rows[0].feature == rows[texts.index(None)].feature
+        assert rows[0].feature == rows[texts.index(None)].feature and rows[texts.index("same")].feature == rows[texts.index("same") + 1].feature
+    assert media.media_features(media.text_media(docs.limit(0))).count() == 0
 
 
 def test_targets_and_flow():
@@ -404,6 +416,24 @@ def test_block_keys_always_meet():
                     assert len(np.intersect1d(J.block_keys(a, 85, 100), J.block_keys(other, 85, 100)))
 
 
+def test_risk_gradient_equals_differences():
+    rng = np.random.default_rng(2)
+    loss = lambda f: np.log1p(np.exp(-f))
+    for shift in (2.0, -4.0):  # the second term is positive, then negative
+        f_p, f_u, prior = rng.normal(size=7) + 2, rng.normal(size=11) + shift, 0.4
+        plain = lambda p, u: (prior * loss(p).mean(), loss(-u).mean() - prior * loss(-p).mean())  # noqa: B023, E731
+        first, second, g_p, g_u = X.risk_gradient(f_p, f_u, prior)
+        assert np.allclose((first, second), plain(f_p, f_u)) and (second < 0) == (shift < 0)
+        goal = (lambda p, u: sum(plain(p, u))) if second >= 0 else (lambda p, u: -plain(p, u)[1])  # noqa: B023, E731
+        for g, f, at in ((g_p, f_p, 0), (g_u, f_u, 1)):
+            for i in range(len(f)):
+                step = np.zeros(len(f))
+                step[i] = 1e-5
+                up, down = [[f_p, f_u] for _ in range(2)]
+                up[at], down[at] = f + step, f - step
+                assert g[i] == pytest.approx((goal(*up) - goal(*down)) / 2e-5, abs=1e-6)
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain, bad = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], ["grumpf", "blarg", "snarkel"]
@@ -422,6 +452,9 @@ def test_toxicity(spark):
     assert all(rows[i] < X.THRESHOLD for i in held if not toxic[i])
     assert sum(rows[i] >= X.THRESHOLD for i in held if toxic[i]) >= 0.85 * sum(toxic[i] for i in held)
     assert all(0 <= s <= 1 for s in rows.values()) and len(rows) == 603
+    twice = documents(spark, [texts[5], texts[5], None], ids=[7, 7, None]).withColumn("score", F.lit("x"))
+    again = X.score_texts(twice, model, "rate").collect()
+    assert [r.score for r in again] == ["x"] * 3 and len({r.rate for r in again if r.doc_id}) == 1
     nothing = X.train(docs, labels.limit(0), F.lit(True))
     assert nothing.weight == {} and X.score_texts(docs.limit(0), nothing).count() == 0
 
@@ -679,6 +712,13 @@ def test_quotes_over_many_steps(spark, monkeypatch):
     assert out == {0: None, 9: None, 11: 9, 21: 9, 5: 0}
 
 
+def test_turns_of_64_bits_keep_their_order(spark):
+    turns = [-(1 << 63), -5, -1, 0, 3, 10**12 + 1, 10**12 + 2, 10**13 + 3, 10**13 + 11, (1 << 63) - 1]
+    rows = [("c", t, "u", "> body 0\nbody" if t > 0 else f"body {t}") for t in random.Random(1).sample(turns, len(turns))]
+    out = quotations.link_quotations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert [r.turn for r in out] == turns and {r.reply_to for r in out if r.turn > 0} == {0}
+
+
 def test_quotations_equal_sql(spark):
     import duckdb
     import pandas as pd
@@ -693,7 +733,7 @@ def test_quotations_equal_sql(spark):
                 lines = [*quote, *lines] if rng.random() < 0.5 else [*lines, *quote, "end"]
             said.append([x for x in lines if not x.startswith(">")] or ["empty"])
             rows.append((conv, turn, "user", "\n".join(lines)))
-    rows += [(1, 5, "user", None), (2, 3, None, "> line 2 1 0")]
+    rows += [(1, 5, "user", None), (2, 3, None, "> line 2 1 0"), (3, 10**13, "user", "> yes\n> >  no more\nlate"), (3, -7, "user", "yes")]
     conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841
     got = quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     con = duckdb.connect()
