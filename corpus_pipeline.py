@@ -13,33 +13,53 @@ from seqloom.llm.packing import pack_documents
 from seqloom.llm.toxicity import THRESHOLD, score_texts, train
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that is no column yet."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity is 0.7 or more, by a model of all labels."""
+    """Drops documents whose toxicity is 0.7 or more, by a model of all labels.
+
+    Null and empty texts are scored like any other; null doc_ids have no label; repeated rows fare alike.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return score_texts(docs, model).where(F.col("score") < THRESHOLD).drop("score")
+    score = _free(docs, "score")
+    return score_texts(docs, model, score).where(F.col(score) < THRESHOLD).select(*_columns(docs))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group linked by 0.8 of five-word shingles: the least doc_id's, nulls last; of several, any.
 
-    Rows are told apart by a key of their own. Rows without shingles stay.
+    Rows are told apart by a key of their own, so that repeated, shared and null doc_ids do no harm. Rows
+    without shingles (null and blank texts) stay.
     """
-    keyed = Workspace(spark, "pipeline-rows").save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(keyed, doc_id="_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
-    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")).alias("_first"))
-    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min("_first")["_row"].alias("_row")).select("_row")
-    gone = Workspace(spark, "pipeline-gone").save(groups.select("_row").join(kept, "_row", "left_anti"), "gone")
+    row = _free(docs, "row_key")
+    keyed = Workspace(spark, "pipeline-rows").save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(keyed, doc_id=row).where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    ids = keyed.select(row, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("first"))
+    kept = groups.join(ids, row).groupBy("component_id").agg(F.min("first")["row"].alias(row)).select(row)
+    gone = Workspace(spark, "pipeline-gone").save(groups.select(row).join(kept, row, "left_anti"), "gone")
     small = gone.count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(gone) if small else gone, "_row", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(gone) if small else gone, row, "left_anti").select(*_columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = mix(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Each document as often as the mix takes it; null and blank texts have no words and aren't taken."""
+    mixed = mix(docs.select("doc_id", "text", "source", F.struct(*_columns(docs)).alias("document")), keep=("document",))
+    times = mixed.where("copies > 0").select("document", F.explode(F.sequence(F.lit(1), "copies")).alias("time"))
+    return times.select(*(F.col(f"document.`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences; each copy of a document is packed for itself."""
     return pack_documents(docs)
 
 
@@ -49,6 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written below the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
     for name, stage in STAGES:
