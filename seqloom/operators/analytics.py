@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.sequences import ranked
+
 
 def split_field(df: DataFrame, column: str, sep: str, field: int, parts: int, name: str) -> DataFrame:
     """The ``field``-th (from 1) of ``parts`` pieces at a literal separator; an empty text where there is none."""
@@ -61,13 +63,26 @@ def normalized_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.try_divide(F.col("i"), F.sqrt(F.col("ha") * F.col("hb"))).alias("nmi"))
 
 
-def confusion_percent(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n, pct) by pair, and by ``b`` alone with a null ``a``: the second is the first's roll-up."""
+def confusion_percent(df: DataFrame, a: str, b: str, truth: str | None = None) -> DataFrame:
+    """(a, b, n, pct) by pair, and by ``b`` alone with ``truth`` (or null) in ``a``: the second is the first's roll-up."""
     cells = percent_of_total(contingency(df, a, b))
-    rolled = cells.groupBy(b).agg(F.sum("n").alias("n"), F.sum("pct").alias("pct")).withColumn(a, F.lit(None).cast(df.schema[a].dataType))
+    rolled = cells.groupBy(b).agg(F.sum("n").alias("n"), F.sum("pct").alias("pct")).withColumn(a, F.lit(truth).cast(df.schema[a].dataType))
     return cells.unionByName(rolled)
 
 
+def replicates(df: DataFrame, group: str, fraction: float, key: str, n: int, seed: int, measures: dict[str, Column]) -> DataFrame:
+    """(run, measures ...) of ``n`` stratified samples, all in one job.
+
+    Each run keeps round(fraction * size) rows of each group, the first by a digest of seed, run and key.
+    """
+    runs = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "run", key))
+    at = F.row_number().over(Window.partitionBy("run", group).orderBy(order, key))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    kept = runs.withColumn("_at", at).join(F.broadcast(sizes), group).where(F.col("_at") <= F.round(F.lit(fraction) * F.col("_n")))
+    return kept.groupBy("run").agg(*(c.alias(name) for name, c in measures.items()))
+
+
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str = "variable", value: str = "value") -> DataFrame:
     return df.unpivot(ids, values, name, value)
 
@@ -82,18 +97,35 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(F.min(value).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("max"))
 
 
-def mantel(a: DataFrame, b: DataFrame, ids: DataFrame, n_perm: int = 99, seed: int = 0, value: str = "similarity") -> DataFrame:
-    """One row (r, p): the share of seeded relabellings of ``b`` whose correlation with ``a`` is as large at least."""
-    numbered = ids.select("seq_id").withColumn("at", F.row_number().over(Window.orderBy("seq_id")))  # one row an id
+def _relabelled(b: DataFrame, ids: DataFrame, n_perm: int, seed: int, value: str) -> DataFrame:
+    """(run, i, j, other): ``b`` as it is (run 0) and under seeded relabellings of its ids."""
+    numbered = ranked(ids.select("seq_id"), "seq_id", "at")
     runs = numbered.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
     new = F.row_number().over(Window.partitionBy("run").orderBy(F.when(F.col("run") == 0, F.lit("")).otherwise(F.md5(F.concat_ws(":", F.lit(str(seed)), "run", "seq_id"))), "at"))
     to = runs.withColumn("new", new).join(numbered.select(F.col("at").alias("new"), F.col("seq_id").alias("target")), "new").select("run", F.col("seq_id"), "target")
     side = lambda c: to.select("run", F.col("seq_id").alias(c), F.col("target").alias(f"t_{c}"))
-    moved = b.join(side("i"), "i").join(side("j"), ["run", "j"]).select("run", F.least("t_i", "t_j").alias("i"), F.greatest("t_i", "t_j").alias("j"), F.col(value).alias("other"))
-    r = a.join(moved, ["i", "j"]).groupBy("run").agg(F.corr(value, "other").alias("r"))
+    return b.join(side("i"), "i").join(side("j"), ["run", "j"]).select("run", F.least("t_i", "t_j").alias("i"), F.greatest("t_i", "t_j").alias("j"), F.col(value).alias("other"))
+
+
+def _share(r: DataFrame) -> DataFrame:
+    """One row (r, p) of (run, r)."""
     first = F.broadcast(r.where("run = 0").select(F.col("r").alias("r0")))
     return r.join(first).agg(F.first("r0").alias("r"), F.avg((F.col("r") >= F.col("r0") - 1e-12).cast("double")).alias("p"))
 
 
+def mantel(a: DataFrame, b: DataFrame, ids: DataFrame, n_perm: int = 99, seed: int = 0, value: str = "similarity") -> DataFrame:
+    """One row (r, p): the share of seeded relabellings of ``b`` whose correlation with ``a`` is as large at least."""
+    moved = _relabelled(b, ids, n_perm, seed, value)
+    return _share(a.join(moved, ["i", "j"]).groupBy("run").agg(F.corr(value, "other").alias("r")))
+
+
+def partial_mantel(a: DataFrame, b: DataFrame, c: DataFrame, ids: DataFrame, n_perm: int = 99, seed: int = 0, value: str = "similarity") -> DataFrame:
+    """One row (r, p): like :func:`mantel`, for the correlation of ``a`` and ``b`` with that of both to ``c`` taken out."""
+    moved = _relabelled(b, ids, n_perm, seed, value)
+    t = a.select("i", "j", F.col(value).alias("x")).join(c.select("i", "j", F.col(value).alias("z")), ["i", "j"]).join(moved, ["i", "j"])
+    r = t.groupBy("run").agg(F.corr("x", "other").alias("xy"), F.corr("x", "z").alias("xz"), F.corr("other", "z").alias("yz"))
+    return _share(r.select("run", ((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("r")))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)

@@ -42,13 +42,14 @@ def minhash_similarity(k: int = 2, n_hash: int = 50, seed: int = 0) -> Callable[
     return of
 
 
-def clusterbreak(seqs: DataFrame, thresh_p: float = 0.8, size_max: int = 10, size_min: int = 3, max_itr: int = 10000, sim_fn: Callable[[DataFrame, int], DataFrame] | None = None, cluster_fn: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, self_loops: bool = True, gamma: float = 1.05, seed: int = 0) -> ClusterResult:
+def clusterbreak(seqs: DataFrame, thresh_p: float = 0.8, size_max: int = 10, size_min: int = 3, max_itr: int = 10000, sim_fn: Callable[[DataFrame, int], DataFrame] | None = None, cluster_fn: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, self_loops: bool = True, gamma: float = 1.05, seed: int = 0, cluster_wt: bool = True) -> ClusterResult:
     """Splits (seq_id, sequence) into clusters of size_min to size_max.
 
     Smaller ones are filtered, larger ones split again by their own similarities. A cluster's c_index is
     ``<call>.<cluster>``. Parts whose call number exceeds ``max_itr`` are lost from both results, and the
     report says so. A part that stays whole down to a depth of 200 is reported as unsplittable and lost.
-    ``cluster_fn(vertices, edges, depth)`` gives (part, id, cluster).
+    ``cluster_fn(vertices, edges, depth)`` gives (part, id, cluster); without ``cluster_wt`` its edges have no
+    weight column. The default clusterer takes weights either way. Each depth is logged.
     """
     if size_max <= size_min:
         raise ValueError("size_max must be greater than size_min")
@@ -68,13 +69,14 @@ def clusterbreak(seqs: DataFrame, thresh_p: float = 0.8, size_max: int = 10, siz
         if self_loops:
             edges = edges.unionByName(vertices.select("part", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight")))
         edges = work.save(edges, f"edges-{depth}")
-        of = cluster_fn(vertices, edges, depth) if cluster_fn else louvain_clusters(vertices, edges, gamma, seed + depth, group="part")
+        of = cluster_fn(vertices, edges if cluster_wt else edges.drop("weight"), depth) if cluster_fn else louvain_clusters(vertices, edges, gamma, seed + depth, group="part")
         placed = of.withColumnRenamed("id", "seq_id").join(frontier.select("part", "seq_id", "sequence"), ["part", "seq_id"])
         count = placed.groupBy("part", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("seq_id").alias("first"))
         placed = work.save(placed.join(count, ["part", "cluster"]), f"placed-{depth}")
         emitted.append(placed.where((F.col("n") >= size_min) & (F.col("n") <= size_max)).select("part", "seq_id", F.col("sequence").alias("pep"), "cluster"))
         dropped.append(placed.where(F.col("n") < size_min).select("part", "seq_id", F.col("sequence").alias("pep")))
         again = placed.where(F.col("n") > size_max).select("part", "cluster", "first").distinct().orderBy("part", "first").limit(max(0, max_itr) + 1).collect()  # one row a call, within the budget
+        log.info("depth %d: %d parts so far, %d clusters are split again", depth, parts, len(again))
         if not again:
             break
         numbers = []

@@ -127,12 +127,17 @@ def cluster_consensus(clustered: DataFrame, threshold: float = 0.05, ambiguity:
 
 
 def column_majority(clustered: DataFrame) -> DataFrame:
-    """(cluster_id, consensus) of clusters whose members are equally long: each place's most frequent letter, the least of several. Native."""
-    even = clustered.groupBy("c_index").agg(F.min(F.length("pep")).alias("lo"), F.max(F.length("pep")).alias("hi")).where("lo = hi").select("c_index")
+    """(cluster_id, consensus): each place's most frequent letter, the least of several. Native.
+
+    Members of a cluster must be equally long; a cluster where they aren't has a null consensus.
+    """
+    lengths = clustered.groupBy("c_index").agg(F.min(F.length("pep")).alias("lo"), F.max(F.length("pep")).alias("hi"))
+    even, uneven = lengths.where("lo = hi").select("c_index"), lengths.where("lo <> hi")
     letters = clustered.join(even, "c_index", "left_semi").select("c_index", F.posexplode(F.split("pep", "")).alias("at", "letter")).where("letter <> ''")
     best = letters.groupBy("c_index", "at", "letter").count().groupBy("c_index", "at").agg(F.min_by("letter", F.struct(-F.col("count"), F.col("letter"))).alias("letter"))
     ordered = best.groupBy("c_index").agg(F.array_sort(F.collect_list(F.struct("at", "letter"))).alias("x"))
-    return ordered.select(F.col("c_index").alias("cluster_id"), F.array_join(F.transform("x", lambda x: x["letter"]), "").alias("consensus"))
+    out = ordered.select(F.col("c_index").alias("cluster_id"), F.array_join(F.transform("x", lambda x: x["letter"]), "").alias("consensus"))
+    return out.unionByName(uneven.select(F.col("c_index").alias("cluster_id"), F.lit(None).cast("string").alias("consensus")))
 
 
 def spring_layout(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seed: int = 0, rounds: int = 200) -> np.ndarray:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.workspace import Workspace
+from ..sources.sequences import ranked
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,18 +127,46 @@ def louvain_clusters(vertices: DataFrame, edges: DataFrame, gamma: float = 1.05,
     found = joined.groupBy("component").applyInPandas(run, "id long, head long")
     all_ = vertices.select("id", *keys).join(found, "id", "left").withColumn("head", F.coalesce("head", "id"))
     heads = all_.select(*keys, "head").distinct()
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("head"))  # a row for each cluster
-    return all_.join(heads.withColumn("cluster", number), [*keys, "head"]).select(*keys, "id", "cluster")
+    if group:
+        numbered = heads.withColumn("cluster", F.row_number().over(Window.partitionBy(group).orderBy("head")))  # a row for each cluster of a group
+    else:
+        numbered = ranked(heads, "head", "cluster").withColumn("cluster", F.col("cluster").cast("int"))
+    return all_.join(numbered, [*keys, "head"]).select(*keys, "id", "cluster")
+
 
+def graph_edges(matrix: DataFrame, mode: str = "upper") -> DataFrame:
+    """(src, dst, weight), src <= dst, of a square matrix (row, col, value); cells of zero are no edges.
 
-def netcluster(matrix: DataFrame, cluster_fn: Callable[[DataFrame, DataFrame], DataFrame] | None = None, weighted: bool = True, gamma: float = 1.05, seed: int = 0) -> DataFrame:
-    """(id, cluster) of a square matrix (row, col, value), read from its upper triangle with the diagonal as loops."""
+    ``upper`` and ``lower`` read one triangle with the diagonal, ``max`` (or ``undirected``), ``min`` and
+    ``plus`` join both cells of a pair; a cell that is missing is zero.
+    """
+    cells = matrix.select(F.least("row", "col").alias("src"), F.greatest("row", "col").alias("dst"), F.col("value").cast("double").alias("weight"), (F.col("row") <= F.col("col")).alias("upper"))
+    if mode in ("upper", "lower"):
+        cells = cells.where(F.col("upper") if mode == "upper" else ~F.col("upper") | (F.col("src") == F.col("dst")))
+    elif mode in ("max", "undirected", "min", "plus"):
+        one = F.max(F.when(F.col("upper"), F.col("weight"))), F.max(F.when(~F.col("upper"), F.col("weight")))
+        a, b = F.coalesce(one[0], F.lit(0.0)), F.coalesce(one[1], F.lit(0.0))
+        both = {"min": F.least(a, b), "plus": a + b}.get(mode, F.greatest(a, b))
+        cells = cells.groupBy("src", "dst").agg(F.when(F.col("src") == F.col("dst"), a).otherwise(both).alias("weight"))
+    else:
+        raise ValueError(f"mode must be upper, lower, max, undirected, min or plus, not {mode}; communities need undirected graphs")
+    return cells.where("weight <> 0").select("src", "dst", "weight")
+
+
+def netcluster(matrix: DataFrame, cluster_fn: Callable[[DataFrame, DataFrame], DataFrame] | None = None, mode: str = "upper", graph_weight: bool = True, cluster_weight: bool = True, gamma: float = 1.05, seed: int = 0) -> DataFrame:
+    """(id, cluster) of a square matrix (row, col, value); ``mode`` as of :func:`graph_edges`, diagonal cells as loops.
+
+    Without ``graph_weight`` all edges weigh 1. Without ``cluster_weight`` a ``cluster_fn`` gets edges that
+    have no weight column; the default clusterer takes the graph's weights either way.
+    """
     rows, cols = matrix.select("row").distinct(), matrix.select(F.col("col").alias("row")).distinct()
     if not rows.exceptAll(cols).isEmpty() or not cols.exceptAll(rows).isEmpty():
         raise ValueError("Input must be a square pairwise similarity matrix")
     vertices = rows.select(F.col("row").alias("id"))
-    edges = matrix.where("row <= col and value <> 0").select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("value").alias("weight"))
-    out = cluster_fn(vertices, edges) if cluster_fn else louvain_clusters(vertices, edges, gamma, seed, weighted=weighted)
+    edges = graph_edges(matrix, mode)
+    if not graph_weight:
+        edges = edges.withColumn("weight", F.lit(1.0))
+    out = cluster_fn(vertices, edges if cluster_weight else edges.drop("weight")) if cluster_fn else louvain_clusters(vertices, edges, gamma, seed)
     kinds = dict(out.dtypes)
     if set(kinds) != {"id", "cluster"} or kinds["cluster"] not in ("int", "bigint", "smallint", "tinyint", "double", "float"):
         raise ValueError("Wrong clustering output format. A numeric cluster for each id is needed")
@@ -193,6 +222,6 @@ def louvain_mod(vertices: DataFrame, edges: DataFrame, res: float, res_range_per
                 gamma = g if r % itr else gamma
                 run = r
     heads = all_.where(F.col("run") == run)
-    number = heads.select("cluster").distinct().withColumn("number", F.row_number().over(Window.orderBy("cluster")))  # a row for each cluster
+    number = ranked(heads.select("cluster").distinct(), "cluster", "number").withColumn("number", F.col("number").cast("int"))
     members = heads.join(number, "cluster").agg(F.array_sort(F.collect_list(F.struct("id", F.col("number").alias("cluster")))).alias("membership"))
     return members.select(F.lit(float(gamma)).alias("resolution"), F.lit(q.get(run)).cast("double").alias("modularity"), "membership")

@@ -124,8 +124,9 @@ def heatmap_frame(matrix: DataFrame, cluster: bool = True) -> DataFrame:
     if cluster and len(ids) > 1:
         at = {x: k for k, x in enumerate(ids)}
         d = np.zeros((len(ids), len(ids)))
-        for r in euclid_dist(matrix).collect():
-            d[at[r.i], at[r.j]] = d[at[r.j], at[r.i]] = r.distance
+        t = euclid_dist(matrix).toArrow()  # MAX_HEATMAP^2 / 2 rows of 24 bytes at most
+        i, j = (np.array([at[x] for x in t.column(c).to_pylist()], np.int64) for c in ("i", "j"))
+        d[i, j] = d[j, i] = t.column("distance").to_numpy()
         order = complete_linkage_order(d)
     place = spark.createDataFrame([(ids[k], n) for n, k in enumerate(order)], "id long, place int")
     row, col = place.select(F.col("id").alias("row"), F.col("place").alias("row_order")), place.select(F.col("id").alias("col"), F.col("place").alias("col_order"))

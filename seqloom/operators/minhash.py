@@ -6,6 +6,7 @@ value, so only pairs with a common value are made; what is missing has similarit
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,14 +22,13 @@ _MAX = 0xFFFFFFFF
 
 
 def create_hash_parameters(spark: SparkSession, n_hash: int, max_val: int, seed: int = 0) -> DataFrame:
-    """(hash_id, a from 1..max_val, b from 0..max_val), drawn once: all a before all b."""
+    """(hash_id, a from 1..max_val, b from 0..max_val), drawn from digests of the seed."""
     if n_hash < 1:
         raise ValueError("Number of hash functions must be positive")
     if max_val < 2:
         raise ValueError("Maximum value must be at least 2")
-    rng = np.random.default_rng(seed)
-    a, b = rng.integers(1, max_val + 1, n_hash), rng.integers(0, max_val + 1, n_hash)
-    return spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "hash_id int, a long, b long")
+    draw = lambda name, i, n: int(hashlib.md5(f"{seed}:{name}:{i}".encode()).hexdigest()[:15], 16) % n
+    return spark.createDataFrame([(i, 1 + draw("a", i, max_val), draw("b", i, max_val + 1)) for i in range(n_hash)], "hash_id int, a long, b long")
 
 
 def apply_hash(x, a, b, m):
@@ -49,11 +49,22 @@ def compute_signature_matrix(char_matrix: DataFrame, params: list[tuple[int, int
 
 
 def matches(signatures: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
-    """(i, j, n) with i < j: in how many hashes two signatures agree, if in any; only inside the groups of ``within``."""
+    """(i, j, n) with i < j: in how many hashes two signatures agree, if in any; only inside the groups of ``within``.
+
+    Equal signatures, such as those of texts that are too short, meet as one class and are told apart
+    at the end, so that a value which many share isn't joined once for each hash and pair.
+    """
+    values = signatures.groupBy(*within, "seq_id").agg(F.array_sort(F.collect_list(F.struct("hash_id", "min_hash"))).alias("sig"))
+    heads = values.groupBy(*within, "sig").agg(F.min("seq_id").alias("head"))
+    members = values.join(heads, [*within, "sig"]).select(*within, "head", "seq_id", F.size("sig").cast("long").alias("n"))
+    each = heads.select(*within, "head", F.inline("sig"))
     keys = [*within, "hash_id", "min_hash"]
-    left = signatures.select(*keys, F.col("seq_id").alias("i"))
-    right = signatures.select(*keys, F.col("seq_id").alias("j"))
-    return left.join(right, keys).where("i < j").groupBy(*within, "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    left, right = each.withColumnRenamed("head", "a"), each.withColumnRenamed("head", "b")
+    near = left.join(right, keys).where("a < b").groupBy(*within, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda head, c: members.select(*within, F.col("head").alias(head), F.col("seq_id").alias(c))
+    met = near.join(of("a", "x"), [*within, "a"]).join(of("b", "y"), [*within, "b"]).select(*within, "x", "y", "n")
+    alike = members.withColumnRenamed("seq_id", "x").join(of("head", "y"), [*within, "head"]).where("x < y").select(*within, "x", "y", "n")
+    return met.unionByName(alike).select(*within, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "n")
 
 
 def all_pairs(ids: DataFrame, diagonal: bool = False) -> DataFrame:
@@ -168,12 +179,16 @@ def signatures(seqs: DataFrame, k: int, n_hash: int, seed: int = 0, seeds: list[
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = np.full((len(f), len(family)), _MAX, np.int64)
-            for at, text in enumerate(f["sequence"]):
+            windows = []
+            for text in f["sequence"]:
                 raw = np.frombuffer((text or "").encode(), np.uint8)
-                if len(raw) >= k:
-                    words = np.unique(np.lib.stride_tricks.sliding_window_view(raw, k), axis=0)
-                    for h, s in enumerate(family):
-                        out[at, h] = murmur3_32(words, int(s)).min()
+                windows.append(np.lib.stride_tricks.sliding_window_view(raw, k) if len(raw) >= k else np.empty((0, k), np.uint8))
+            size = np.array([len(w) for w in windows], np.int64)
+            full = np.flatnonzero(size)
+            if len(full):  # all sequences of the batch together, hash by hash
+                words, start = np.concatenate(windows), (np.cumsum(size) - size)[full]
+                for h, s in enumerate(family):
+                    out[full, h] = np.minimum.reduceat(murmur3_32(words, int(s)), start)
             yield f[keep].assign(sig=list(out))
 
     from pyspark.sql.types import ArrayType, LongType, StructType

@@ -8,6 +8,7 @@ from ..operators import analytics as A, cluster as C, consensus as N, graph as G
 from ..operators.align import similarity_nw
 from ..functions.kmers import affine
 from ..sources.sequences import distinct_strings, from_column, residues
+from .workspace import Workspace
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,7 +87,10 @@ def char_matrix_dense(spark, sf_dir):
     return S.dense_char_matrix(seqs, S.create_vocab(seqs, 3), 3)
 
 
-@query()
+_DRAW = lambda name, n: f"CAST(('0x' || substr(md5('7:{name}:' || i), 1, 15)) AS BIGINT) % {n}"
+
+
+@query(f"SELECT CAST(i AS INTEGER) AS hash_id, 1 + {_DRAW('a', 1000)} AS a, {_DRAW('b', 1001)} AS b FROM range(50) t(i)")
 def hash_params(spark, sf_dir):
     return H.create_hash_parameters(spark, 50, 1000, seed=7)
 
@@ -157,7 +161,16 @@ def similarity_mh_short_seq(spark, sf_dir):
     return H.similarity_mh(from_column(table(spark, sf_dir, "nation"), "n_name", "n_nationkey"), 12, 10)
 
 
-@query()
+# Murmur3 of three bytes has no whole block: the bytes' word is mixed in, without the step after a block.
+_K3 = [_MUL(_ROT(_MUL("block", 3432918353), 15), 461845907), "xor(xor(seed, h0), 3)", "xor(h1, h1 >> 16)", _MUL("h2", 2246822507), "xor(h3, h3 >> 13)", _MUL("h4", 3266489909), "xor(h5, h5 >> 16)"]
+_K3_STEPS = ", ".join(f"t{i} AS (SELECT seq_id, hid, block, seed{''.join(f', h{j}' for j in range(i))}, {e} AS h{i} FROM {f't{i - 1}' if i else 'x3'})" for i, e in enumerate(_K3))
+_MH3 = f"""WITH {_SEQ}, {_SH(3)}, seeds(hid, seed) AS (VALUES {', '.join(f'({i}, {x}::BIGINT)' for i, x in enumerate(H.hash_seeds(50)))}),
+x3 AS (SELECT seq_id, hid, seed, (ord(substr(shingle, 1, 1)) | (ord(substr(shingle, 2, 1)) << 8) | (ord(substr(shingle, 3, 1)) << 16))::BIGINT AS block FROM (SELECT DISTINCT seq_id, shingle FROM sh), seeds), {_K3_STEPS},
+f3 AS (SELECT seq_id, hid, min(h6) AS mh FROM t6 GROUP BY ALL), sig3 AS (SELECT seqs.seq_id, seeds.hid, coalesce(mh, 4294967295) AS mh FROM seqs CROSS JOIN seeds LEFT JOIN f3 ON f3.seq_id = seqs.seq_id AND f3.hid = seeds.hid),
+n3 AS (SELECT x.seq_id AS i, y.seq_id AS j, count(*) FILTER (x.mh = y.mh) / 50::DOUBLE AS similarity FROM sig3 x JOIN sig3 y ON x.hid = y.hid AND x.seq_id < y.seq_id GROUP BY ALL)"""
+
+
+@query(f"{_MH3} SELECT i, j, similarity FROM n3 WHERE similarity > 0")
 def similarity_mh_k3(spark, sf_dir):
     return H.similarity_mh(names(spark, sf_dir), 3, 50)
 
@@ -273,6 +286,30 @@ def confusion_pct(spark, sf_dir):
     return A.confusion_percent(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority").withColumn("pct", F.round("pct", 9))
 
 
+@query("""WITH n AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT *, n / (SELECT sum(n) FROM n)::DOUBLE * 100 AS pct FROM n)
+SELECT o_orderstatus, o_orderpriority, n, round(pct, 9) AS pct FROM p UNION ALL SELECT 'truth', o_orderpriority, CAST(sum(n) AS BIGINT), round(sum(pct), 9) FROM p GROUP BY o_orderpriority""")
+def confusion_truth(spark, sf_dir):
+    return A.confusion_percent(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", "truth").withColumn("pct", F.round("pct", 9))
+
+
+@query("""WITH s AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT c.*, CAST(run AS INTEGER) AS run FROM customer c, range(20) t(run)),
+k AS (SELECT r.*, row_number() OVER (PARTITION BY run, c_mktsegment ORDER BY md5('3:' || run || ':' || c_custkey), c_custkey) AS place_ FROM r)
+SELECT run, count(*) AS rows, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS sd FROM k JOIN s USING (c_mktsegment) WHERE place_ <= round(0.2 * n) GROUP BY run""")
+def replicate_experiment(spark, sf_dir):
+    """Twenty stratified samples of customers and a statistic of each, as one job."""
+    measures = {"rows": F.count(F.lit(1)), "mean": F.round(F.avg("c_acctbal"), 6), "sd": F.round(F.stddev_samp("c_acctbal"), 6)}
+    return A.replicates(table(spark, sf_dir, "customer"), "c_mktsegment", 0.2, "c_custkey", 20, 3, measures)
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def csv_round_trip(spark, sf_dir):
+    """Written as CSV below the shared folder and read again."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    path = f"{Workspace(spark, 'csv').root}/part"
+    A.write_csv(part, path)
+    return spark.read.schema(part.schema).csv(path, header=True)
+
+
 @query("""SELECT c_custkey, c_mktsegment FROM (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('5:' || c_custkey)) AS k FROM customer) WHERE k <= round(0.1 * n)""")
 def stratified_sample(spark, sf_dir):
     order = F.md5(F.concat(F.lit("5:"), F.col("c_custkey").cast("string")))
@@ -359,7 +396,35 @@ def clusterbreak(spark, sf_dir):
 
 @query()
 def cluster_filtered(spark, sf_dir):
-    return _clusters(spark, sf_dir).filtered
+    """Of clusters of nine at least, so that some are too small."""
+    return C.clusterbreak(names(spark, sf_dir), 0.95, 30, 9, sim_fn=C.minhash_similarity(4, 50, 1), self_loops=False, max_itr=200).filtered
+
+
+@query(f"WITH {_SEQ} SELECT seq_id, sequence AS pep, true AS once, true AS fits FROM seqs")
+def cluster_partition(spark, sf_dir):
+    """Every sequence is clustered or filtered, once, and clusters keep to their sizes."""
+    r = _clusters(spark, sf_dir)
+    sizes = r.clustered.groupBy("c_index").agg(F.count(F.lit(1)).alias("n"))
+    placed = r.clustered.join(sizes, "c_index").select("seq_id", "pep", F.col("n").between(3, 12).alias("fits"))
+    both = placed.unionByName(r.filtered.withColumn("fits", F.lit(True)))
+    return both.groupBy("seq_id", "pep").agg((F.count(F.lit(1)) == 1).alias("once"), F.min("fits").alias("fits"))
+
+
+@query(f"WITH {_SEQ} SELECT seq_id AS id, true AS better FROM seqs")
+def louvain_gain(spark, sf_dir):
+    """Communities cover every vertex and have at least the modularity of single vertices."""
+    vertices, edges = names(spark, sf_dir).select(F.col("seq_id").alias("id")), _edges(spark, sf_dir)
+    of = Workspace(spark, "gain").save(G.louvain_clusters(vertices, edges, 1.05), "of")
+    q = lambda members, name: F.broadcast(G.modularity(edges, members, 1.05).select(F.col("modularity").alias(name)))
+    return of.join(q(of, "q")).join(q(of.select("id", F.col("id").alias("cluster")), "q0")).select("id", (F.col("q") >= F.col("q0")).alias("better"))
+
+
+@query(f"{_DENSE}, u AS (SELECT least(r, c) AS src, greatest(r, c) AS dst, max(value) AS a, min(value) AS b, count(*) AS k, sum(value) AS s FROM full_ WHERE r <> c GROUP BY ALL) SELECT src, dst, round(s, 9) AS weight FROM u WHERE s <> 0 UNION ALL SELECT r, c, value FROM full_ WHERE r = c")
+def graph_edges_plus(spark, sf_dir):
+    """The graph of a matrix whose two cells of a pair are added."""
+    seqs = names(spark, sf_dir)
+    full = M.mirrored(H.similarity_mh(seqs, 4, 50, native=True, dense=True), "similarity", seqs)
+    return G.graph_edges(full, "plus").withColumn("weight", F.round("weight", 9))
 
 
 @query()
@@ -396,7 +461,41 @@ def heatmap_order(spark, sf_dir):
     return M.heatmap_frame(M.mirrored(H.similarity_mh(seqs, 4, 50, native=True, dense=True), "similarity", seqs))
 
 
-@query()
+# Relabellings by digests; run 0 keeps the ids
+_PERM = """ids_ AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) AS place_ FROM seqs), runs_ AS (SELECT ids_.*, run FROM ids_, range(21) t(run)),
+to_ AS (SELECT run, seq_id, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN run = 0 THEN '' ELSE md5('0:' || run || ':' || seq_id) END, place_) AS new FROM runs_),
+target_ AS (SELECT to_.run, to_.seq_id, ids_.seq_id AS target FROM to_ JOIN ids_ ON ids_.place_ = to_.new),
+moved_ AS (SELECT x.run, least(x.target, y.target) AS i, greatest(x.target, y.target) AS j, b_.similarity AS other FROM b_ JOIN target_ x ON x.seq_id = b_.i JOIN target_ y ON y.seq_id = b_.j AND y.run = x.run)"""
+_AFFINE_SIM = f"{_BASE}, d AS ({_DIST.format(n=20)}), a_ AS (SELECT i, j, 1 - distance AS similarity FROM d)"
+_SHARE = "SELECT round((SELECT r FROM r_ WHERE run = 0), 9) AS r, round(avg(CAST(r >= (SELECT r FROM r_ WHERE run = 0) - 1e-9 AS INTEGER)), 9) AS p FROM r_"
+_LENGTH_SIM = "(SELECT x.seq_id AS i, y.seq_id AS j, -abs(length(x.sequence) - length(y.sequence))::DOUBLE AS similarity FROM seqs x JOIN seqs y ON x.seq_id < y.seq_id)"
+_VOWELS = "length(regexp_replace({}.sequence, '[^aeiou]', '', 'g'))"
+_VOWEL_SIM = f"(SELECT x.seq_id AS i, y.seq_id AS j, -abs({_VOWELS.format('x')} - {_VOWELS.format('y')})::DOUBLE AS similarity FROM seqs x JOIN seqs y ON x.seq_id < y.seq_id)"
+
+
+def _alike(seqs: DataFrame, measure) -> DataFrame:
+    """(i, j, similarity): minus the difference of a number of each sequence."""
+    of = lambda c: seqs.select(F.col("seq_id").alias(c), measure(F.col("sequence")).alias(f"m_{c}"))
+    return H.all_pairs(seqs).join(of("i"), "i").join(of("j"), "j").select("i", "j", (-F.abs(F.col("m_i") - F.col("m_j"))).cast("double").alias("similarity"))
+
+
+def _by_vowels(seqs: DataFrame) -> DataFrame:
+    return _alike(seqs, lambda s: F.length(F.regexp_replace(s, "[^aeiou]", "")))
+
+
+def _affine_similarity(seqs: DataFrame) -> DataFrame:
+    return _affine(seqs, 3).dist_matrix.select("i", "j", (1 - F.col("distance")).alias("similarity"))
+
+
+@query(f"{_AFFINE_SIM}, b_ AS {_LENGTH_SIM}, {_PERM}, r_ AS (SELECT run, corr(a_.similarity, other) AS r FROM a_ JOIN moved_ USING (i, j) GROUP BY run) {_SHARE}")
 def mantel(spark, sf_dir):
     seqs = names(spark, sf_dir)
-    return A.mantel(H.similarity_mh(seqs, 4, 50, native=True, dense=True), H.similarity_mh(seqs, 3, 50, dense=True), seqs, 20)
+    return A.mantel(_affine_similarity(seqs), _alike(seqs, F.length), seqs, 20).select(F.round("r", 9).alias("r"), F.round("p", 9).alias("p"))
+
+
+@query(f"""{_AFFINE_SIM}, b_ AS {_LENGTH_SIM}, c_ AS {_VOWEL_SIM}, {_PERM}, q_ AS (SELECT run, corr(a_.similarity, other) AS xy, corr(a_.similarity, c_.similarity) AS xz, corr(other, c_.similarity) AS yz FROM a_ JOIN c_ USING (i, j) JOIN moved_ USING (i, j) GROUP BY run),
+r_ AS (SELECT run, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r FROM q_) {_SHARE}""")
+def partial_mantel(spark, sf_dir):
+    """Similarity against length, with the number of vowels taken out."""
+    seqs = names(spark, sf_dir)
+    return A.partial_mantel(_affine_similarity(seqs), _alike(seqs, F.length), _by_vowels(seqs), seqs, 20).select(F.round("r", 9).alias("r"), F.round("p", 9).alias("p"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..plans.workspace import Workspace
 
 
 def from_column(df: DataFrame, sequence: str | Column, seq_id: str | Column) -> DataFrame:
@@ -12,23 +14,30 @@ def from_column(df: DataFrame, sequence: str | Column, seq_id: str | Column) ->
 
 
 def distinct_strings(df: DataFrame, sequence: str | Column) -> DataFrame:
-    """The distinct non-null strings, numbered from 1 in binary order: per first character, then by rank within it."""
+    """The distinct non-null strings, numbered from 1 in binary order."""
     col = F.col(sequence) if isinstance(sequence, str) else sequence
     return ranked(df.select(col.cast("string").alias("sequence")).where("sequence is not null").distinct(), "sequence", "seq_id").select("seq_id", "sequence")
 
 
-def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``name``: 1, 2, ... in the order of the distinct strings ``key``.
+def ranked(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
+    """``name``: 1, 2, ... in the order of ``key``, nulls first; rows that are equal there in any order.
 
-    Ranks are counted within each two-character beginning and shifted by the sizes of those before,
-    so that no window holds all rows.
+    Rows are range-partitioned and numbered within their ranges; sizes of ranges, one number each, shift
+    the numbers. Equal rows are told apart by a number, so that no range need hold them all.
     """
-    head = df.withColumn("_head", F.substring(key, 1, 2))
-    sizes = head.groupBy("_head").count()
-    before = F.sum("count").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1))  # a row for each beginning
-    shift = sizes.select("_head", F.coalesce(before, F.lit(0)).alias("_shift"))
-    within = F.row_number().over(Window.partitionBy("_head").orderBy(key))
-    return head.withColumn("_at", within).join(shift, "_head").withColumn(name, F.col("_at") + F.col("_shift")).drop("_head", "_at", "_shift")
+    spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else key
+    order = [*keys, "_row"]
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = Workspace(spark, "ranked").save(rows.drop("_row").withColumn("_at", F.monotonically_increasing_id()), "rows")  # partition << 33 | row
+    part = F.shiftright("_at", 33)
+    before, shift = 0, []
+    for r in sorted(rows.groupBy(part.alias("p")).count().collect(), key=lambda r: r.p):  # a row for each range
+        shift.append((r.p, before))
+        before += r["count"]
+    shifts = F.broadcast(spark.createDataFrame(shift, "_part long, _shift long"))
+    at = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_shift") + 1
+    return rows.join(shifts, part == F.col("_part")).withColumn(name, at).drop("_at", "_part", "_shift")
 
 
 def read_parquet(spark: SparkSession, path: str, sequence: str, seq_id: str) -> DataFrame:
@@ -36,13 +45,16 @@ def read_parquet(spark: SparkSession, path: str, sequence: str, seq_id: str) ->
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, name, sequence) of FASTA files; a record is read as one line, so records of any number split well."""
+    """(seq_id, name, sequence) of FASTA files, numbered by name and sequence; records of one name stay apart.
+
+    A record is read as one line, so records of any number split well.
+    """
     records = spark.read.option("lineSep", "\n>").text(path)
     line = F.regexp_replace(F.col("value"), "^>", "")
     name = F.trim(F.substring_index(line, "\n", 1))
     body = F.regexp_replace(F.when(F.instr(line, "\n") > 0, F.substr(line, F.instr(line, "\n") + 1)).otherwise(""), r"\s", "")
     out = records.select(name.alias("name"), body.alias("sequence")).where("name <> '' or sequence <> ''")
-    return ranked(out.groupBy("name").agg(F.min("sequence").alias("sequence")), "name", "seq_id").select("seq_id", "name", "sequence")
+    return ranked(out, ["name", "sequence"], "seq_id").select("seq_id", "name", "sequence")
 
 
 def residues(text: Column) -> Column:

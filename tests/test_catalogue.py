@@ -52,5 +52,16 @@ def test_rest_stands_alone():
 def test_fasta(spark, tmp_path):
     from seqloom.sources.sequences import read_fasta
 
+    (tmp_path / "b.fa").write_text(">a\nGGG\n>a\nACD\n>a\nACD\n")  # records of one name stay
+    assert [tuple(r) for r in read_fasta(spark, str(tmp_path / "b.fa")).orderBy("seq_id").collect()] == [(1, "a", "ACD"), (2, "a", "ACD"), (3, "a", "GGG")]
     (tmp_path / "a.fa").write_text(">one x\nACD\nEF\n>two\nGG\n")
     assert [tuple(r) for r in read_fasta(spark, str(tmp_path / "a.fa")).orderBy("seq_id").collect()] == [(1, "one x", "ACDEF"), (2, "two", "GG")]
+
+
+def test_ranked(spark):
+    from seqloom.sources.sequences import ranked
+
+    rows = [(None,), ("b",), ("a",), ("b",), ("",), ("ab",)]
+    got = ranked(spark.createDataFrame(rows, "x string"), "x", "n").orderBy("n").collect()
+    assert [(r.x, r.n) for r in got] == [(None, 1), ("", 2), ("a", 3), ("ab", 4), ("b", 5), ("b", 6)]
+    assert ranked(spark.createDataFrame([], "x string"), "x", "n").count() == 0

@@ -33,6 +33,43 @@ def test_netcluster(spark):
         G.netcluster(matrix, lambda v, e: v.withColumn("cluster", F.lit("x")))
 
 
+@pytest.mark.parametrize(("mode", "want"), [("upper", {(1, 1): 5, (1, 2): 2, (2, 3): 4}), ("lower", {(1, 1): 5, (1, 2): 1, (1, 3): 7}), ("max", {(1, 1): 5, (1, 2): 2, (2, 3): 4, (1, 3): 7}), ("min", {(1, 1): 5, (1, 2): 1}), ("plus", {(1, 1): 5, (1, 2): 3, (2, 3): 4, (1, 3): 7})])
+def test_graph_modes(spark, mode, want):
+    cells = {(1, 1): 5.0, (1, 2): 2.0, (2, 1): 1.0, (2, 3): 4.0, (3, 1): 7.0, (3, 3): 0.0}
+    matrix = spark.createDataFrame([(*k, v) for k, v in cells.items()], "row long, col long, value double")
+    assert {(r.src, r.dst): r.weight for r in G.graph_edges(matrix, mode).collect()} == want
+    with pytest.raises(ValueError, match="mode"):
+        G.graph_edges(matrix, "directed")
+
+
+def test_weights_reach_the_clusterer(spark):
+    cells = [(i, j, 1.0 if (i < 3) == (j < 3) else 0.0) for i in range(1, 5) for j in range(1, 5)]
+    matrix = spark.createDataFrame(cells, "row long, col long, value double")
+    seen = []
+
+    def one(v, e):
+        seen.append(e.columns)
+        return v.withColumn("cluster", F.lit(1))
+
+    G.netcluster(matrix, one)
+    G.netcluster(matrix, one, cluster_weight=False)
+    assert seen == [["src", "dst", "weight"], ["src", "dst"]]
+    seqs = spark.createDataFrame([(i, "ABCDEFG"[: 3 + i % 3]) for i in range(6)], "seq_id long, sequence string")
+
+    def parts(v, e, depth):
+        seen.append(e.columns)
+        return v.withColumn("cluster", F.lit(1))
+
+    assert C.clusterbreak(seqs, size_max=10, size_min=3, cluster_fn=parts, cluster_wt=False).clustered.count() == 6 and "weight" not in seen[-1]
+    assert G.netcluster(matrix, graph_weight=False).count() == 4
+
+
+def test_uneven_clusters_have_no_majority(spark):
+    rows = [(1, "AB", "x"), (2, "AC", "x"), (3, "A", "y"), (4, "ABC", "y")]
+    got = {r.cluster_id: r.consensus for r in N.column_majority(spark.createDataFrame(rows, "seq_id long, pep string, c_index string")).collect()}
+    assert got == {"x": "AB", "y": None}
+
+
 def test_louvain_mod(spark):
     r = G.louvain_mod(vertices(spark, 4), edges(spark, BLOCKS), 1.0, 0.2, 0.1, 2).first()
     assert r.resolution == pytest.approx(0.8) and r.modularity == pytest.approx(0.4)
