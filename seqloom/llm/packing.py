@@ -7,8 +7,9 @@ taken, which is what best fit gives if documents come longest first. What a rang
 without a document and above them documents without a gap, is matched over the ranges by the same
 rule; only the number of both in each range goes to the driver, and ranks within a range settle which
 document gets which gap. Then gaps shrink and the next round begins, until nothing fits. The longest
-documents left open new sequences, as many as the tokens left need at least, and so on. Documents come
-in bands of lengths, long ones first, as in best-fit decreasing.
+documents left open new sequences, as many as the tokens left need at least, and rounds go on. The few
+that find no gap then are packed among themselves, block by block. Documents come in bands of lengths,
+long ones first, as in best-fit decreasing.
 
 Short documents enter a round in bundles, so that the rounds don't grow with the number of documents in
 a sequence; bundles that find no gap are dissolved into smaller ones, at last into single documents.
@@ -16,12 +17,12 @@ a sequence; bundles that find no gap are dissolved into smaller ones, at last in
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -31,6 +32,8 @@ from .tokens import default_path, encoder
 TOKENIZER = "word_bpe_49k.json"
 #: Rows of one range at most; smaller tables are cut finer.
 RANGE_ROWS = 500_000
+#: Documents that a task packs among themselves at the end of a band.
+CLOSING_ROWS = 20_000
 _LISTS = "ats array<long>, ns array<long>, rel array<long>"
 
 
@@ -112,8 +115,8 @@ def bundled(docs: DataFrame, most: int) -> DataFrame:
 
 
 def _sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (size, gap, id, ats, ns, rel) of one range, sorted: state 0 a match, 1 a gap left, 2 a document left; idx counts what is left."""
-    batches = list(batches)
+    """Of rows (size, gap, id, ats, ns, rel, part) of one range, sorted: state 0 a match, 1 a gap left, 2 a document left; idx counts what is left."""
+    batches = [b for b in batches if b.num_rows]
     if not batches:
         return
     t = pa.Table.from_batches(batches)
@@ -123,7 +126,7 @@ def _sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     free = np.ones(len(doc), bool)
     free[d] = free[g] = False
     gaps, docs = np.flatnonzero(free & ~doc), np.flatnonzero(free & doc)
-    part = TaskContext.get().partitionId()
+    part = t.column("part")[0].as_py()
     for state, room, rows in ((0, size[g], d), (1, size[gaps], gaps), (2, size[docs], docs)):
         for lo in range(0, len(rows), 20_000):
             at = rows[lo : lo + 20_000]
@@ -133,6 +136,32 @@ def _sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([one(state, pa.int32()), one(part, pa.int32()), pa.array(np.arange(lo, lo + len(at))), pa.array(seq), pa.array(room[lo : lo + 20_000]), pa.array(size[at]), *lists], ["state", "part", "idx", "id", "room", "size", "ats", "ns", "rel"])
 
 
+def _best_fit(capacity: int):
+    """Best-fit decreasing of the documents (at, n) of one task, as sequences of their own; the gap of a sequence stands in one of its rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        at, n = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in (0, 1))
+        order = np.lexsort((at, -n))
+        gaps: list[tuple[int, int, int]] = []  # gap, sequence, its last row
+        seq, start, room = ([0] * len(at) for _ in range(3))
+        for row, (x, size) in enumerate(zip(at[order].tolist(), n[order].tolist())):
+            i = bisect.bisect_left(gaps, (size, -1, -1))
+            gap, seq[row], last = gaps.pop(i) if i < len(gaps) else (capacity, x, -1)
+            if last >= 0:
+                room[last] = 0
+            start[row], room[row] = capacity - gap, gap - size
+            if gap > size:
+                bisect.insort(gaps, (gap - size, seq[row], row))
+        ones = pa.array(np.arange(len(at) + 1, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(ones, pa.array(x)) for x in (at[order], np.zeros(len(at), np.int64))]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (seq, start, room)), *lists], ["sequence_id", "start", "room", "ats", "rel"])
+
+    return run
+
+
 def _placed(rows: DataFrame, capacity: int) -> DataFrame:
     """Matches (id, room, size) as sequence_id, start, what is left, and the documents' lists."""
     return rows.select(F.col("id").alias("sequence_id"), (F.lit(capacity) - F.col("room")).alias("start"), (F.col("room") - F.col("size")).alias("room"), "ats", "rel")
@@ -170,28 +199,36 @@ def _place_band(docs: DataFrame, low: int, gaps: DataFrame | None, n_gaps: int,
     left = work.save(bundled(docs, bundle), f"band-{low}")
     rows = left.count()
     idle: list[DataFrame] = []  # gaps too small for this band
-    least, opening, first = low + 1, gaps is None, True
+    least, opening, opened_once = low + 1, gaps is None, False
     keys = ["size", "gap", "id"]
     while rows:
         k += 1
+        if opening and opened_once:  # what found no gap again: packed among itself
+            single = left.select(F.explode(F.arrays_zip("ats", "ns")).alias("x")).select(F.col("x.ats").alias("at"), F.col("x.ns").alias("n"))
+            few = single.repartition(max(1, rows // CLOSING_ROWS)).mapInArrow(_best_fit(capacity), "sequence_id long, start long, room long, ats array<long>, rel array<long>")
+            last = work.save(few, f"closed-{k}")
+            placed.append(last)
+            free = last.select("sequence_id", "room")
+            gaps = free if gaps is None else gaps.unionByName(free)
+            break
         both = left.select("size", F.lit(False).alias("gap"), "id", "ats", "ns", "rel")
         if not opening:
             none = [F.lit(None).cast("array<long>").alias(c) for c in ("ats", "ns", "rel")]
             idle.append(gaps.where(F.col("room").between(1, least - 1)))
             both = both.unionByName(gaps.where(F.col("room") >= least).select(F.col("room").alias("size"), F.lit(True).alias("gap"), F.col("sequence_id").alias("id"), *none))
         ranges = max(min(partitions(spark), -(-(rows + n_gaps) // (RANGE_ROWS // 25))), -(-(rows + n_gaps) // RANGE_ROWS))
-        swept = both.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).mapInArrow(_sweep, f"state int, part int, idx long, id long, room long, size long, {_LISTS}")
-        swept = work.save(swept, f"swept-{k}")
-        found = swept.groupBy("part", "state").agg(F.count(F.lit(1)).alias("m"), F.min(F.array_min("ns")).alias("least"), F.sum("size").alias("sum"), F.sum(1 / F.floor(capacity / F.col("size"))).alias("shares"), F.max(F.when(F.col("state") == 0, F.col("room") - F.col("size")).otherwise(F.col("room"))).alias("room")).collect()  # three rows a range
+        sorted_ = both.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+        swept = sorted_.mapInArrow(_sweep, f"state int, part int, idx long, id long, room long, size long, {_LISTS}")
+        swept = work.save(swept.coalesce(ranges), f"swept-{k}")
+        found = swept.groupBy("part", "state").agg(F.count(F.lit(1)).alias("m"), F.min(F.array_min("ns")).alias("least"), F.sum("size").alias("sum"), F.max(F.when(F.col("state") == 0, F.col("room") - F.col("size")).otherwise(F.col("room"))).alias("room")).collect()  # three rows a range
         counts = [[0, 0, 0] for _ in range(max(r.part for r in found) + 1)]
         for r in found:
             counts[r.part][r.state] = r.m
         rest = swept.where("state = 2")
         least = min((r.least for r in found if r.state == 2), default=capacity)
         before = bundle
-        if opening:  # the longest, as many as the tokens need at least; later as many as documents of like lengths need
-            needed = max(1, sum(r["sum"] for r in found) // capacity if first else round(sum(r.shares for r in found)))
-            first = False
+        if opening:  # the longest, as many as the tokens need at least
+            needed, opened_once = max(1, sum(r["sum"] for r in found) // capacity), True
             above, table = 0, []
             for p in range(len(counts) - 1, -1, -1):
                 above += counts[p][2]
@@ -214,7 +251,7 @@ def _place_band(docs: DataFrame, low: int, gaps: DataFrame | None, n_gaps: int,
                 of = swept.join(r, (F.col("part") == F.col("run_part")) & (F.col("state") == F.col("run_state")) & (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
                 of = of.withColumn("number", F.col("first") + F.col("step") * (F.col("idx") - F.col("lo")))
                 cross = of.where("state = 2").select("number", "size", "ats", "ns", "rel").join(of.where("state = 1").select("number", "id", "room"), "number")
-                now.append(_placed(work.save(cross.select("id", "room", "size", "ats", "ns", "rel"), f"cross-{k}"), capacity))
+                now.append(_placed(work.save(cross.select("id", "room", "size", "ats", "ns", "rel").coalesce(ranges), f"cross-{k}"), capacity))
                 # Runs take the greatest documents of a range and its smallest gaps
                 ends = _small(spark, [(p, state, n if state == 1 else counts[p][2] - n) for (p, state), n in taken.items()], "part int, state int, end long")
                 alone = swept.where("state > 0").join(ends, ["part", "state"], "left")
@@ -225,11 +262,9 @@ def _place_band(docs: DataFrame, low: int, gaps: DataFrame | None, n_gaps: int,
             rows, n_gaps = sum(c[2] for c in counts) - crossed, sum(c[0] + c[1] for c in counts)
             if max((r.room for r in found if r.state < 2), default=0) < least:
                 opening = True
-            elif hits * 4 < rows:
+            elif hits * 2 < rows:
                 if bundle > 1:
                     bundle = bundle // 4 if bundle // 8 > low else bundle // 2 if bundle // 4 > low else 1
-                elif widest > 1 and 0 < hits and rows <= hits * 64:  # few gaps for many documents
-                    bundle = widest
                 else:
                     opening = True
         placed += now
