@@ -6,21 +6,49 @@ never join components, so Louvain runs for each component by itself, with the wh
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.workspace import Workspace
 from ..sources.sequences import ranked
 
 
+#: Edges up to which one task finds all components; more are contracted round by round.
+FEW_EDGES = 200_000
+
+
+def _least_reached(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, reached) of the ends of edges (src, dst), by union-find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for b in batches:
+        for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            s, d = top(up.setdefault(s, s)), top(up.setdefault(d, d))
+            up[max(s, d)] = min(s, d)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in up], pa.int64())], ["id", "reached"])
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reached. Least neighbours become parents, parents are followed by doubling, and components contract."""
+    """(id, component): the least id reached.
+
+    Up to 200,000 different edges one task joins them. Beyond that least neighbours become parents,
+    parents are followed by doubling, and components contract.
+    """
     work = Workspace(vertices.sparkSession, "components")
     label = vertices.select("id", F.col("id").alias("component"))
-    live, k = work.save(edges.where("src <> dst").select("src", "dst").distinct(), "edges"), 0
+    live, k = work.save(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct(), "edges"), 0
+    if live.count() <= FEW_EDGES:
+        of = live.coalesce(1).mapInArrow(_least_reached, "id long, reached long")
+        return label.join(of, "id", "left").select("id", F.coalesce("reached", "component").alias("component"))
     while not live.isEmpty():
         both = live.union(live.select("dst", "src"))
         up = work.save(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("up")), f"up-{k}-0")

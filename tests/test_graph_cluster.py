@@ -87,7 +87,9 @@ def test_loops_dissolve_a_clique(spark):
     assert G.louvain_clusters(vertices(spark, 8), edges(spark, pairs)).select("cluster").distinct().count() == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "FEW_EDGES", few)
     e = edges(spark, [(i, i + 1, 1.0) for i in range(2, 40)] + [(50, 60, 1.0)])
     got = {r.id: r.component for r in G.connected_components(vertices(spark, 60), e).collect()}
     assert got == {i: 2 if 2 <= i <= 40 else 50 if i == 60 else i for i in range(1, 61)}
