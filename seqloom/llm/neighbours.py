@@ -197,7 +197,9 @@ def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id",
                 ids_ = t.column(1).flatten().to_numpy(zero_copy_only=False)
                 v = t.column(2).flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(ids_), -1)
                 # What a score may be off: by the residual, and by the rounding of 32-bit sums
-                off = rest + (codes.shape[0] * 2 + 4) * 2.0**-23 * (np.sqrt((x**2).sum(1)) + rest)
+                length = np.sqrt((x**2).sum(1))
+                off = rest + (codes.shape[0] * 2 + 4) * 2.0**-23 * (length + rest)
+                slack = 1e-12 * length.max()  # more than the rounding of products, in any order of addition
                 some, need = min(max(rerank_block, k + 1), len(rows_)), min(k + 1, len(rows_))
                 for lo in range(0, len(ids_), 16):
                     tables = q.tables(v[lo : lo + 16])
@@ -207,9 +209,13 @@ def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id",
                     best = []
                     for one, s in zip(v[lo : lo + 16], score, strict=True):
                         size = np.sqrt((one**2).sum())
-                        first = product(x[np.argpartition(-s, some - 1)[:some]], one)
-                        bound = np.partition(first, some - need)[some - need]
-                        may = np.flatnonzero(s + off * size >= bound - 1e-12 * abs(bound))
+                        may = np.arange(len(rows_))
+                        if np.isfinite(slack * size):  # else products may overflow, and all are ranked
+                            first = x[np.argpartition(-s, some - 1)[:some]] @ one
+                            bound = np.partition(first, some - need)[some - need]
+                            may = np.flatnonzero(s + off * size >= bound - slack * size)
+                            rough = x[may] @ one
+                            may = may[rough >= np.partition(rough, len(may) - need)[len(may) - need] - 2 * slack * size]
                         exact = product(x[may], one)
                         best.append(rows_[may[np.lexsort((rows_[may], -exact))[:need]]])  # ties: the smaller ids
                     yield pa.RecordBatch.from_arrays([pa.array(ids_[lo : lo + 16], pa.int64()), pa.array(list(v[lo : lo + 16]), pa.list_(pa.float64())), pa.array(best, pa.list_(pa.int64()))], ["query_id", "q", "rows"])
