@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, bound_batches, partitions, qualified
+from .common import Workspace, bound_batches, partitions, qualified, tidied
 from .tokens import default_path, encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -104,7 +104,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None =
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = rows.repartitionByRange(partitions(spark, docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     shards, start = [], 0
-    for r in sorted(rows.mapInArrow(write, "part int, name string, docs long, ids long").collect(), key=lambda r: r.part):  # a row for each partition
+    for r in sorted(rows.mapInArrow(tidied(write), "part int, name string, docs long, ids long").collect(), key=lambda r: r.part):  # a row for each partition
         shards.append({"name": r.name, "docs": r.docs, "ids": r.ids, "start": start})
         start += r.ids
     where = _open_fs(folder)[1]
@@ -166,7 +166,7 @@ def digest_records(spark: SparkSession, folder: str, shards: list[dict]) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame([(s["name"], s["start"]) for s in shards], "name string, start long")
-    return files.repartition(max(1, len(shards))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, len(shards))).mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_records(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, bound_batches, partitions, release
+from .common import Workspace, bound_batches, partitions, release, tidied
 from .components import connected
 
 #: Ids up to this many are broadcast (16 bytes each), more are shuffled.
@@ -173,7 +173,7 @@ def sketches(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFram
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "n", "cid", "sum", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, sum long, keys array<long>")
+    return docs.mapInArrow(tidied(run), "doc_id long, n long, cid long, sum long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, k: int, seed: int) -> DataFrame:
@@ -185,7 +185,7 @@ def sets_of(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 sets = [s for data in b.slice(lo, 500).column(1).to_pylist() if len(s := shingle_set(data or b"", k, seed))]
                 yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "n", "items"])
 
-    return docs.mapInArrow(run, "cid long, n long, items binary")
+    return docs.mapInArrow(tidied(run), "cid long, n long, items binary")
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: sets.select(F.col("cid").alias(s), F.col("items").alias(f"items_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,7 +346,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         raise RuntimeError("classes of different sets share a hash under nine seeds")
     classes = classes.drop("lo", "hi")
     keys = rows.where("keys is not null").select(F.explode("keys").alias("key"), "cid")
-    shared = work.save(keys.repartition(partitions(spark, rows), "key").sortWithinPartitions("key", "cid").mapInArrow(_shared, "key long, cid long, least long"), "shared")
+    shared = work.save(keys.repartition(partitions(spark, rows), "key").sortWithinPartitions("key", "cid").mapInArrow(tidied(_shared), "key long, cid long, least long"), "shared")
     rows = work.save(rows.select("doc_id", "n", "cid"), "rows")
     work.drop(f"sketches-{seed}")
     release(spark)
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     release(spark)
     dealt = gather(shared, root, classes, work).join(sets.select("cid", "items"), "cid").select("least", "gi", "gj", "side", "comp", "items")
     dealt = dealt.repartition(partitions(spark), "least", "gi", "gj").sortWithinPartitions("least", "gi", "gj")
-    joined = connected(work.save(dealt.mapInArrow(_gathered(num, den), "a long, b long"), "joined"), work, "cc-1")
+    joined = connected(work.save(dealt.mapInArrow(tidied(_gathered(num, den)), "a long, b long"), "joined"), work, "cc-1")
     work.drop("shared", "met", "sets", "links-0", "members", "joined")
     named = classes.select("cid", "doc_id").join(root.select(F.col("id").alias("cid"), F.col("root").alias("first")), "cid", "left").withColumn("first", F.coalesce("first", "cid"))
     named = named.join(joined.select(F.col("id").alias("first"), "root"), "first", "left").withColumn("root", F.coalesce("root", "first"))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, bound_batches
+from .common import Workspace, bound_batches, tidied
 
 #: An image row of 64 RGB pixels.
 ROW_BYTES = 192
@@ -158,7 +158,7 @@ def text_media(docs: DataFrame, form: str = "netpbm", doc_id: str = "doc_id", te
 
     bound_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.encode(text, "UTF-8").alias("data")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.encode(text, "UTF-8").alias("data")).mapInArrow(tidied(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_bytes", *names])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile_npy binary, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile_npy binary, feature string")
 
 
 def op4_media(spark, sf_dir: str) -> DataFrame:

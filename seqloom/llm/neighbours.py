@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Workspace, bound_batches
+from .common import Workspace, bound_batches, tidied
 
 SAMPLE = 20_000
 ROW_BLOCK = 16_384
@@ -169,7 +169,7 @@ def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id",
         lists = df.withColumn(key, F.pmod(F.xxhash64(columns[0], F.lit(7)), F.lit(n)).cast("int")).groupBy(key).agg(*(F.collect_list(c).alias(f"{c}s") for c in columns))
         return work.save(lists, name), n
 
-    coded = work.save(index.select("row", "v").mapInArrow(encode, "row long, code binary, rest double, x array<double>"), "codes")
+    coded = work.save(index.select("row", "v").mapInArrow(tidied(encode), "row long, code binary, rest double, x array<double>"), "codes")
     row_blocks, n_rows = blocks(coded, ROW_BLOCK, ["row", "code", "rest", "x"], "rb", "row-blocks")
     queries = base.where("is_query").select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id", "v"])
     query_blocks, n_queries = blocks(queries, QUERY_BLOCK, ["query_id", "v"], "qb", "query-blocks")
@@ -220,7 +220,7 @@ def search(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id",
                         best.append(rows_[may[np.lexsort((rows_[may], -exact))[:need]]])  # ties: the smaller ids
                     yield pa.RecordBatch.from_arrays([pa.array(ids_[lo : lo + 16], pa.int64()), pa.array(list(v[lo : lo + 16]), pa.list_(pa.float64())), pa.array(best, pa.list_(pa.int64()))], ["query_id", "q", "rows"])
 
-    found = pairs.select("rb", "query_ids", "vs", "rows", "codes", "rests", "xs").mapInArrow(scan, "query_id long, q array<double>, rows array<long>")
+    found = pairs.select("rb", "query_ids", "vs", "rows", "codes", "rests", "xs").mapInArrow(tidied(scan), "query_id long, q array<double>, rows array<long>")
     merged = found.select("query_id", "q", F.explode("rows").alias("row"))
     exact = merged.join(index, "row").select("query_id", "ids", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p).alias("score"))
     members = exact.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")

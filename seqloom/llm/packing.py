@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import Workspace, bound_batches, partitions
+from .common import Workspace, bound_batches, partitions, tidied
 from .tokens import default_path, encoder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,7 +60,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
 
     bound_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def brackets(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ def bundled(docs: DataFrame, most: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (at, n, rel)]
             yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(size), *lists], ["id", "size", "ats", "ns", "rel"])
 
-    return docs.select("at", "n").mapInArrow(run, f"id long, size long, {_LISTS}")
+    return docs.select("at", "n").mapInArrow(tidied(run), f"id long, size long, {_LISTS}")
 
 
 def _sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,7 @@ def _place_band(docs: DataFrame, low: int, gaps: DataFrame | None, n_gaps: int,
         k += 1
         if opening and opened_once:  # what found no gap again: packed among itself
             single = left.select(F.explode(F.arrays_zip("ats", "ns")).alias("x")).select(F.col("x.ats").alias("at"), F.col("x.ns").alias("n"))
-            few = single.repartition(max(1, rows // CLOSING_ROWS)).mapInArrow(_best_fit(capacity), "sequence_id long, start long, room long, ats array<long>, rel array<long>")
+            few = single.repartition(max(1, rows // CLOSING_ROWS)).mapInArrow(tidied(_best_fit(capacity)), "sequence_id long, start long, room long, ats array<long>, rel array<long>")
             last = work.save(few, f"closed-{k}")
             placed.append(last)
             free = last.select("sequence_id", "room")
@@ -218,7 +218,7 @@ def _place_band(docs: DataFrame, low: int, gaps: DataFrame | None, n_gaps: int,
             both = both.unionByName(gaps.where(F.col("room") >= least).select(F.col("room").alias("size"), F.lit(True).alias("gap"), F.col("sequence_id").alias("id"), *none))
         ranges = max(min(partitions(spark), -(-(rows + n_gaps) // (RANGE_ROWS // 25))), -(-(rows + n_gaps) // RANGE_ROWS))
         sorted_ = both.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
-        swept = sorted_.mapInArrow(_sweep, f"state int, part int, idx long, id long, room long, size long, {_LISTS}")
+        swept = sorted_.mapInArrow(tidied(_sweep), f"state int, part int, idx long, id long, room long, size long, {_LISTS}")
         swept = work.save(swept.coalesce(ranges), f"swept-{k}")
         found = swept.groupBy("part", "state").agg(F.count(F.lit(1)).alias("m"), F.min(F.array_min("ns")).alias("least"), F.sum("size").alias("sum"), F.max(F.when(F.col("state") == 0, F.col("room") - F.col("size")).otherwise(F.col("room"))).alias("room")).collect()  # three rows a range
         counts = [[0, 0, 0] for _ in range(max(r.part for r in found) + 1)]

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Workspace, bound_batches
+from .common import Workspace, bound_batches, tidied
 
 DEPTH = 6
 GAIN = 2.0
@@ -315,7 +315,7 @@ def count(docs: DataFrame, work: Workspace, depth: int = DEPTH) -> tuple[DataFra
         if codes:
             yield flush_codes()
 
-    parts = work.save(docs.select("data", F.coalesce("training", F.lit(False)).alias("training")).mapInArrow(run, "word binary, code long, n long, met long"), "parts")
+    parts = work.save(docs.select("data", F.coalesce("training", F.lit(False)).alias("training")).mapInArrow(tidied(run), "word binary, code long, n long, met long"), "parts")
     words = parts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
     codes = parts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
     return work.save(words, "words"), work.save(codes, "codes")
@@ -468,7 +468,7 @@ def score_documents(docs: DataFrame, training: Column, depth: int = DEPTH, hot:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base", "total", "word", "tf", "code", "at", "v", "times"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    first = docs.select(F.col(doc_id).alias("doc_id"), data).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, total double, word array<binary>, tf array<long>, code array<long>, at array<int>, v array<double>, times array<long>")
+    first = docs.select(F.col(doc_id).alias("doc_id"), data).mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, n_known long, base double, total double, word array<binary>, tf array<long>, code array<long>, at array<int>, v array<double>, times array<long>")
     first = work.save(first.withColumn("row", F.monotonically_increasing_id()), "first")
     rare = first.select("row", F.explode(F.arrays_zip("word", "tf")).alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.tf").alias("tf"))
     rare = rare.join(words.where(F.col("met") < bound) if bound is not None else words, "word", "left").select("row", "tf", F.coalesce("n", F.lit(0)).alias("n"))

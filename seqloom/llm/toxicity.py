@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidied
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 6000
@@ -61,7 +61,7 @@ class Model:
 
         def score(text: str) -> float:
             total = self.bias
-            if len(known) > 400_000:
+            if len(known) > 200_000:
                 known.clear()
             for w in set(_WORDS(text.lower())):
                 x = known.get(w)
@@ -148,7 +148,7 @@ def _sampled(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
             rows = [features(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "x"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, x binary").collect()  # at most n ids
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, x binary").collect()  # at most n ids
     return [np.frombuffer(r.x, np.int32) for r in sorted(rows, key=lambda r: (r.doc_id, r.x))]
 
 
@@ -193,7 +193,7 @@ def score_texts(docs: DataFrame, model: Model, score: str = "score") -> DataFram
     # Columns go by number to Python and back, as mapInArrow can't take names with dots
     names = [f"c{i}" for i in range(len(keep) + 1)]
     schema = StructType([StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep)]).add(names[-1], DoubleType())
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).toDF(*names[:-1]).mapInArrow(run, schema).toDF(*keep, score)
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).toDF(*names[:-1]).mapInArrow(tidied(run), schema).toDF(*keep, score)
 
 
 def fold(doc_id: Column, n: int) -> Column:
