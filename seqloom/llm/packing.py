@@ -219,7 +219,8 @@ def _place_band(docs: DataFrame, low: int, gaps: DataFrame | None, n_gaps: int,
         ranges = max(min(partitions(spark), -(-(rows + n_gaps) // (RANGE_ROWS // 25))), -(-(rows + n_gaps) // RANGE_ROWS))
         sorted_ = both.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
         swept = sorted_.mapInArrow(tidied(_sweep), f"state int, part int, idx long, id long, room long, size long, {_LISTS}")
-        swept = work.save(swept.coalesce(ranges), f"swept-{k}")
+        files = max(ranges, spark.sparkContext.defaultParallelism)
+        swept = work.save(swept.coalesce(files), f"swept-{k}")
         found = swept.groupBy("part", "state").agg(F.count(F.lit(1)).alias("m"), F.min(F.array_min("ns")).alias("least"), F.sum("size").alias("sum"), F.max(F.when(F.col("state") == 0, F.col("room") - F.col("size")).otherwise(F.col("room"))).alias("room")).collect()  # three rows a range
         counts = [[0, 0, 0] for _ in range(max(r.part for r in found) + 1)]
         for r in found:
@@ -251,7 +252,7 @@ def _place_band(docs: DataFrame, low: int, gaps: DataFrame | None, n_gaps: int,
                 of = swept.join(r, (F.col("part") == F.col("run_part")) & (F.col("state") == F.col("run_state")) & (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
                 of = of.withColumn("number", F.col("first") + F.col("step") * (F.col("idx") - F.col("lo")))
                 cross = of.where("state = 2").select("number", "size", "ats", "ns", "rel").join(of.where("state = 1").select("number", "id", "room"), "number")
-                now.append(_placed(work.save(cross.select("id", "room", "size", "ats", "ns", "rel").coalesce(ranges), f"cross-{k}"), capacity))
+                now.append(_placed(work.save(cross.select("id", "room", "size", "ats", "ns", "rel").coalesce(files), f"cross-{k}"), capacity))
                 # Runs take the greatest documents of a range and its smallest gaps
                 ends = _small(spark, [(p, state, n if state == 1 else counts[p][2] - n) for (p, state), n in taken.items()], "part int, state int, end long")
                 alone = swept.where("state > 0").join(ends, ["part", "state"], "left")
