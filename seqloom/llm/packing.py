@@ -216,8 +216,9 @@ def _place_band(docs: DataFrame, low: int, gaps: DataFrame | None, n_gaps: int,
             none = [F.lit(None).cast("array<long>").alias(c) for c in ("ats", "ns", "rel")]
             idle.append(gaps.where(F.col("room").between(1, least - 1)))
             both = both.unionByName(gaps.where(F.col("room") >= least).select(F.col("room").alias("size"), F.lit(True).alias("gap"), F.col("sequence_id").alias("id"), *none))
-        ranges = max(min(partitions(spark), -(-(rows + n_gaps) // (RANGE_ROWS // 25))), -(-(rows + n_gaps) // RANGE_ROWS))
-        sorted_ = both.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+        ranges = max(min(partitions(spark), -(-(rows + n_gaps) // (RANGE_ROWS // 5))), -(-(rows + n_gaps) // RANGE_ROWS))
+        dealt = both.repartitionByRange(ranges, *keys) if ranges > 1 else both.coalesce(1)
+        sorted_ = dealt.sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
         swept = sorted_.mapInArrow(tidied(_sweep), f"state int, part int, idx long, id long, room long, size long, {_LISTS}")
         files = max(ranges, spark.sparkContext.defaultParallelism)
         swept = work.save(swept.coalesce(files), f"swept-{k}")
