@@ -213,3 +213,40 @@ def test_euclid_dist_of_all_vectors(spark, tmp_path):
     spark.createDataFrame([(i, x, i % 2) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.i, r.j): r.distance for r in QUERIES["euclid_dist_vectors"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): round(sum((a - b) ** 2 for a, b in zip(v[i], v[j])) ** 0.5, 6) for i, j in itertools.combinations(range(12), 2)}
+
+
+def test_euclid_dist_by_blocks(spark, monkeypatch):
+    """Pairs of blocks give what a join of the cells gives, also with gaps, nulls, repeated cells and ids of text; cells aren't joined."""
+    from seqloom.operators import matrix as M
+
+    monkeypatch.setattr(M, "BLOCK_ROWS", 8)
+    cells = [(f"r{i:02}", f"c{k}", None if (i + k) % 5 == 0 else float((i * 7 + k * k) % 11)) for i in range(40) for k in range(70) if (i * k) % 3 != 1]
+    cells += [("r03", "c1", 9.0), ("r07", "c0", float("nan")), ("r08", None, 1.0), (None, "c0", 1.0), ("alone", "own", 1.0), ("empty", "c1", None)]
+    at = {}
+    for r, c, x in cells:
+        if r is not None and c is not None:
+            at.setdefault(r, {}).setdefault(c, []).append(x)
+    want = {}
+    for i, j in itertools.combinations(sorted(at), 2):
+        both = [(x, y) for c in at[i].keys() & at[j].keys() for x in at[i][c] for y in at[j][c]]
+        if both:
+            d = [(x - y) ** 2 for x, y in both if x is not None and y is not None]
+            want[i, j] = f"{sum(d) ** 0.5:.9g}" if d else None
+    df = M.euclid_dist(spark.createDataFrame(cells, "row string, col string, value double"))
+    got = [((r.i, r.j), None if r.distance is None else f"{r.distance:.9g}") for r in df.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert "Join" not in df._jdf.queryExecution().toString()
+    assert M.euclid_dist(spark.createDataFrame([], "row long, col long, value double")).count() == 0
+
+
+def test_vector_dist_of_uneven_vectors(spark, monkeypatch):
+    from seqloom.operators import matrix as M
+
+    monkeypatch.setattr(M, "BLOCK_ROWS", 8)
+    v = {1: [1.0, 2.0], 2: [4.0, 6.0, 9.0], 3: [], 4: None, 5: [None, 2.0], None: [1.0], 6: [None], **{i: [i * 0.5] * (i % 4 + 1) for i in range(10, 40)}}
+    got = {(r.i, r.j): r.distance for r in M.vector_dist(spark.createDataFrame(list(v.items()), "row long, value array<double>")).collect()}
+    want = {}
+    for i, j in itertools.combinations(sorted(k for k in v if k is not None and v[k]), 2):
+        d = [(x - y) ** 2 for x, y in zip(v[i], v[j]) if x is not None and y is not None]
+        want[i, j] = pytest.approx(sum(d) ** 0.5) if d else None
+    assert got == want
