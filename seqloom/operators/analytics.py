@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.workspace import Workspace
 from ..sources.sequences import ranked
 
 
@@ -25,6 +26,42 @@ def stratified_sample(df: DataFrame, group: str, fraction: float, order: Column)
     return df.withColumn("_n", n).withColumn("_at", at).where(F.col("_at") <= F.round(F.lit(fraction) * F.col("_n"))).drop("_n", "_at")
 
 
+#: Rows of one key in a chunk, about, and rows of the result for each part.
+CHUNK_ROWS, PART_ROWS = 2048, 1 << 22
+#: Parts of a join at most.
+MAX_PARTS = 10_000
+
+
+def fanout_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The left join by ``key`` where many rows meet many: tasks are dealt by rows of the result, not by key or bytes.
+
+    Each key's rows are cut into chunks on both sides, by their places in the inputs, which should be read from files; every
+    chunk meets every chunk of the other side. So a task makes about ``PART_ROWS`` rows, and their number grows with the result.
+    """
+    count = lambda df, name: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    sizes = Workspace(left.sparkSession, "fanout").save(count(left, "_l").join(count(right, "_r"), key), "sizes")
+    made = sizes.agg(F.sum(F.col("_l").cast("double") * F.col("_r"))).first()[0] or 0
+    parts = int(min(MAX_PARTS, max(1, -(-made // PART_ROWS), left.count() // PART_ROWS)))
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK_ROWS)
+    of = sizes.select(F.col(key).alias("_key"), chunks("_l").alias("_nl"), chunks("_r").alias("_nr"))
+
+    def dealt(df, how, own, n_own, other, n_other):
+        df = df.withColumn("_row", F.monotonically_increasing_id()).join(of, F.col(key) == F.col("_key"), how)
+        at = F.coalesce(F.pmod(F.xxhash64("_row"), F.col(n_own)), F.lit(0))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n_other), F.lit(1)) - 1))
+        return df.withColumn(own, at).withColumn(other, every)
+
+    a = dealt(left, "left", "_cl", "_nl", "_cr", "_nr").withColumn("_alone", F.col("_key").isNull()).drop("_key", "_nl", "_nr")
+    # rows without a partner are spread by their places
+    a = a.withColumn("_cl", F.when(F.col("_alone"), F.col("_row")).otherwise(F.col("_cl"))).drop("_row")
+    b = dealt(right, "inner", "_cr", "_nr", "_cl", "_nl").drop("_key", "_nl", "_nr", "_row").withColumn("_met", F.lit(True))
+    on = [key, "_cl", "_cr"]
+    if parts > 1:  # a number given is kept, where inputs of few bytes would be put into one task
+        a, b = a.repartition(parts, *on), b.repartition(parts, *on)
+    both = a.join(b.hint("shuffle_hash"), on, "left")
+    return both.where("_alone or _met").drop("_cl", "_cr", "_alone", "_met")  # a chunk may be empty
+
+
 def head(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 

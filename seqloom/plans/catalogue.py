@@ -347,7 +347,7 @@ def box_stats(spark, sf_dir):
 @query("SELECT s.s_suppkey, c.c_custkey FROM supplier s LEFT JOIN customer c ON c.c_nationkey = s.s_nationkey AND c.c_mktsegment = 'BUILDING'")
 def left_join_fanout(spark, sf_dir):
     right = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("s_nationkey"), "c_custkey")
-    return table(spark, sf_dir, "supplier").join(right, "s_nationkey", "left").select("s_suppkey", "c_custkey")
+    return A.fanout_join(table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), right, "s_nationkey").select("s_suppkey", "c_custkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")

@@ -250,3 +250,34 @@ def test_vector_dist_of_uneven_vectors(spark, monkeypatch):
         d = [(x - y) ** 2 for x, y in zip(v[i], v[j]) if x is not None and y is not None]
         want[i, j] = pytest.approx(sum(d) ** 0.5) if d else None
     assert got == want
+
+
+def test_left_join_fanout_is_dealt_by_its_result(spark, tmp_path, monkeypatch):
+    """One nation with nearly all rows is spread over tasks; rows without a partner, null keys and copies stay."""
+    from collections import Counter
+
+    from seqloom.plans.catalogue import QUERIES
+
+    sup = [(i, 7) for i in range(300)] + [(5, 7), (5, 7), (900, 1), (901, 2), (902, None), (902, None), (903, 9)]
+    cust = [(i, 7, "BUILDING") for i in range(200)] + [(1, 7, "BUILDING"), (2, 7, "OTHER"), (300, 1, "BUILDING"), (301, 9, "OTHER"), (302, None, "BUILDING"), (303, 3, "BUILDING"), (304, 7, None)]
+    spark.createDataFrame(sup, "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(cust, "c_custkey long, c_nationkey int, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    mates = {}
+    for c, n, seg in cust:
+        if seg == "BUILDING" and n is not None:
+            mates.setdefault(n, []).append(c)
+    want = Counter((s, c) for s, n in sup for c in mates.get(n, [None]))
+    for chunk, part in ((2048, 1 << 22), (16, 2000), (1, 20_000)):  # chunks of about one row may be empty
+        monkeypatch.setattr(A, "CHUNK_ROWS", chunk, raising=False)
+        monkeypatch.setattr(A, "PART_ROWS", part, raising=False)
+        df = QUERIES["left_join_fanout"](spark, str(tmp_path))
+        rows = df.withColumn("at", F.spark_partition_id()).collect()
+        assert Counter((r.s_suppkey, r.c_custkey) for r in rows) == want
+        if part == 2000:
+            assert max(Counter(r.at for r in rows).values()) < len(rows) / 4
+
+
+def test_fanout_join_without_partners(spark):
+    left, none = spark.createDataFrame([(1, "a"), (None, "b")], "k int, x string"), spark.createDataFrame([], "k int, y long")
+    assert sorted((r.x, r.y) for r in A.fanout_join(left, none, "k").collect()) == [("a", None), ("b", None)]
+    assert A.fanout_join(none, left, "k").count() == 0
